@@ -1,0 +1 @@
+"""Intentionally empty: the analytics covered here are batch only (no event-time operators exist to match)."""
