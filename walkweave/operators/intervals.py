@@ -86,6 +86,19 @@ def tile_nodes(nodes: DataFrame, pix: int, regions: DataFrame | None = None) ->
     ).withColumn("width", F.col("end") - F.col("start") + 1)
 
 
+def windows(regions: DataFrame, width: int) -> DataFrame:
+    """Fixed-width windows of each region, the last one truncated: ``(tile_id, seqnames, start, end)``."""
+    spans = regions.select("seqnames", F.col("start").alias("_rs"), F.col("end").alias("_re"))
+    spans = spans.withColumn("_count", F.floor((F.col("_re") - F.col("_rs")) / width) + 1)
+    spans = _before(spans, [], ["seqnames"], ["_rs"], "_count", "_off", split=True)
+    cut = spans.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
+    lo = F.col("_rs") + F.col("_k") * width
+    return cut.select(
+        (F.col("_off") + F.col("_k") + 1).cast("int").alias("tile_id"), "seqnames",
+        lo.alias("start"), F.least(lo + (width - 1), F.col("_re")).alias("end"),
+    )
+
+
 def half_nodes(nodes: DataFrame) -> DataFrame:
     """Two tiles per node: the left half gets ``floor(width / 2)`` bases.  Tile ids follow the node ids."""
     width = F.col("end") - F.col("start") + 1
