@@ -84,7 +84,7 @@ def range_semi(spark, sf):
 
 
 def _node_tiles(spark, sf):
-    return T.genome(spark, sf).select(F.col("node_id").alias("tile_id"), "seqnames", "start", "end", "width", "cn")
+    return T.genome(spark, sf).select(F.col("node_id").alias("tile_id"), "node_id", "seqnames", "start", "end", "width", "cn")
 
 
 def rebin_contacts(spark, sf):
@@ -255,7 +255,7 @@ frac AS (
   FROM {pixels} p JOIN frac x ON x.src = p.i JOIN frac y ON y.src = p.j GROUP BY ALL)"""
 
 
-NODE_TILES = "ntiles AS (SELECT node_id AS tile_id, seqnames, s, e, width, cn FROM genome)"
+NODE_TILES = "ntiles AS (SELECT node_id AS tile_id, node_id, seqnames, s, e, width, cn FROM genome)"
 BASE = f"WITH {GENOME}, {TILES}"
 SIM = f"{BASE}, {CUSTOMER_STEPS}, {placed_sql()}, {map_sql()}"
 REGION_TILES = TILES.replace(
