@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from walkweave.operators.skew import BLOCK
 
 
-def with_next(steps: DataFrame, k: int, keys: Sequence[str] = ("walk_id",), block: int = BLOCK) -> DataFrame:
+def with_next(steps: DataFrame, k: int, keys: Sequence[str] = ("walk_id",), block: int = BLOCK,
+              short_rings: bool = False) -> DataFrame:
     """Add ``nx1 .. nx{k-1}``: the following nodes of each step (wrapping on circular walks).
 
     Positions are cut into blocks and the first ``k-1`` steps of a block are copied to the block
-    before it, so a long walk is spread over tasks.  A wrap is allowed while ``k <= n + 1``.
+    before it, so a long walk is spread over tasks.  A wrap is allowed while ``k <= n + 1``; with
+    ``short_rings`` shorter rings are followed for one more lap and end there.
     """
     span = k - 1
-    wraps = F.col("circular") & (F.col("pos") <= span) & (F.lit(span) <= F.col("n"))
+    wraps = F.col("circular") & (F.col("pos") <= span)
+    if not short_rings:
+        wraps = wraps & (F.lit(span) <= F.col("n"))
     placed = steps.select(
         "*",
         F.explode(

@@ -221,14 +221,14 @@ placed AS (
   SELECT c.kar_id, c.walk_id, c.circular, c.len::DOUBLE AS len, tw.tile_id, tw.tw::DOUBLE AS tw,
          (c.endp - c.nw + CASE WHEN c.node > 0 THEN tw.off ELSE c.nw - tw.off - tw.tw END)::DOUBLE + (tw.tw + 1)::DOUBLE / 2 AS mid
   FROM crd c JOIN tw ON tw.node_id = abs(c.node)),
-pairs AS (
+tpairs AS (
   SELECT a.kar_id, a.walk_id, a.tile_id AS p, b.tile_id AS q, a.tw * b.tw AS area, a.mid < b.mid AS apart,
          CASE WHEN a.circular THEN least(b.mid - a.mid, a.len - (b.mid - a.mid)) ELSE b.mid - a.mid END AS d
   FROM placed a JOIN placed b ON a.walk_id = b.walk_id AND a.mid <= b.mid),
 intra AS (
   SELECT {by} least(p, q) AS i, greatest(p, q) AS j,
          sum(({value}) * CASE WHEN p = q AND apart THEN 2 ELSE 1 END) AS v
-  FROM pairs GROUP BY ALL)"""
+  FROM tpairs GROUP BY ALL)"""
 
 
 def map_sql(tiles: str = "tiles", density: float = INTERCHROM_DENSITY, depth: float = DEPTH) -> str:

@@ -121,7 +121,7 @@ def _map(which: str, suffix: str) -> str:
     """CTEs of the segment map of the walks that satisfy ``which``; the map is called ``map{suffix}``."""
     text = f"{placed_sql('ntiles')}, {map_sql('ntiles', depth=DEPTH)}".replace(
         "FROM steps st JOIN", f"FROM (SELECT * FROM steps WHERE {which}) st JOIN")
-    for name in ("tw", "nws", "crd", "placed", "pairs", "intra", "cnt", "grid", "map"):
+    for name in ("tw", "nws", "crd", "placed", "tpairs", "intra", "cnt", "grid", "map"):
         text = text.replace(f"\n{name} AS (", f"\n{name}{suffix} AS (")
         alias = f" {name}" if name in ("tw", "nws") else ""
         for kw in ("FROM", "JOIN"):
