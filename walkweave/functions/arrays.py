@@ -24,18 +24,6 @@ def canonical_walk(walk: Column, circular: Column) -> Column:
     return F.when(circular, F.least(min_rotation(walk), min_rotation(rc))).otherwise(F.least(walk, rc))
 
 
-def canonical_karyotype(walks: Column) -> Column:
-    """Sorted canonical walks of an ``array<struct<nodes, circular>>``."""
-    return F.array_sort(
-        F.transform(
-            walks,
-            lambda w: F.struct(
-                canonical_walk(w["nodes"], w["circular"]).alias("nodes"), w["circular"].alias("circular")
-            ),
-        )
-    )
-
-
 def words(walk: Column, sep: str = "|") -> Column:
     return F.array_join(F.transform(walk, lambda v: v.cast("string")), sep)
 

@@ -38,9 +38,12 @@ def collect_walks(steps: DataFrame, keys: Sequence[str] = ("kar_id", "walk_id"))
     )
 
 
-def longest_circular(steps: DataFrame) -> int:
-    row = steps.filter("circular").agg(F.max("n")).first()
-    return row[0] or 0
+def long_walks(steps: DataFrame, bound: int | None, array_steps: int) -> int:
+    """Length of the longest walk if it may exceed ``array_steps``, else 0 (``bound`` spares the lookup)."""
+    if bound is not None and bound <= array_steps:
+        return 0
+    longest = steps.agg(F.max("n")).first()[0] or 0
+    return longest if longest > array_steps else 0
 
 
 def _halves(pos: Column, node: Column) -> tuple[Column, Column]:
@@ -61,29 +64,30 @@ def _order_free_key(steps: DataFrame, keys: Sequence[str], both_strands: bool) -
     ).select(*keys, "len", "circ", "_k.h1", "_k.h2")
 
 
+def array_key(canonical: Column) -> list[Column]:
+    """The two hash columns of a canonical walk array."""
+    return [F.xxhash64(F.lit(11), canonical).alias("h1"), F.xxhash64(F.lit(29), canonical).alias("h2")]
+
+
 def walk_keys(
     steps: DataFrame,
     keys: Sequence[str] = ("kar_id", "walk_id"),
-    longest: int | None = None,
+    bound: int | None = None,
     array_steps: int = ARRAY_STEPS,
 ) -> DataFrame:
     """``(keys, len, circ, h1, h2)``: equal exactly for equal walks (up to 128-bit hashing).
 
-    ``longest`` is the length of the longest circular walk (looked up when not given).
+    Walks of up to ``array_steps`` steps hash their canonical array; equal walks have equal lengths, so
+    they always take the same way.  ``bound`` is an upper bound on walk lengths, if one is known.
     """
-    longest = longest_circular(steps) if longest is None else longest
-    linear = _order_free_key(steps.filter("NOT circular"), keys, both_strands=True)
-    short = steps.filter(F.col("circular") & (F.col("n") <= array_steps))
-    canon = collect_walks(short, keys).withColumn("c", canonical_walk(F.col("nodes"), F.lit(True)))
-    indexed = F.transform(F.col("c"), lambda v, i: F.struct((i + 1).cast("long").alias("pos"), v.alias("node")))
-    xor = lambda seed: F.aggregate(
-        indexed, F.lit(0).cast("long"), lambda a, s: a.bitwiseXOR(F.xxhash64(F.lit(seed), s["pos"], s["node"]))
-    )
-    rings = canon.select(*keys, F.col("n").alias("len"), F.col("circular").alias("circ"),
-                         xor(11).alias("h1"), xor(29).alias("h2"))
-    out = linear.unionByName(rings)
-    if longest > array_steps:
-        turned = canonical_rings(steps.filter(F.col("circular") & (F.col("n") > array_steps)), keys, longest)
+    longest = long_walks(steps, bound, array_steps)
+    short = steps.filter(F.col("n") <= array_steps) if longest else steps
+    canon = collect_walks(short, keys).withColumn("c", canonical_walk(F.col("nodes"), F.col("circular")))
+    out = canon.select(*keys, F.col("n").alias("len"), F.col("circular").alias("circ"), *array_key(F.col("c")))
+    if longest:
+        long = steps.filter(F.col("n") > array_steps)
+        turned = canonical_rings(long.filter("circular"), keys, longest)
+        out = out.unionByName(_order_free_key(long.filter("NOT circular"), keys, both_strands=True))
         out = out.unionByName(_order_free_key(turned, keys, both_strands=False))
     return out
 
@@ -126,11 +130,27 @@ def canonical_rings(steps: DataFrame, keys: Sequence[str], longest: int) -> Data
     )
 
 
-def canonical_steps(steps: DataFrame, keys: Sequence[str] = ("kar_id", "walk_id"), longest: int | None = None,
+def ring_steps(steps: DataFrame, keys: Sequence[str] = ("kar_id", "walk_id"), bound: int | None = None,
+               array_steps: int = ARRAY_STEPS) -> DataFrame:
+    """Circular walks in canonical rotation and strand; linear walks as they are."""
+    longest = long_walks(steps, bound, array_steps)
+    cols = [*keys, "circular", "pos", "n", "node"]
+    rings = steps.filter("circular")
+    short = collect_walks(rings.filter(F.col("n") <= array_steps) if longest else rings, keys)
+    turned = short.select(
+        *keys, "circular", "n", F.posexplode(canonical_walk(F.col("nodes"), F.lit(True))).alias("p", "node")
+    ).select(*keys, "circular", (F.col("p") + 1).cast("long").alias("pos"), "n", "node")
+    out = steps.filter("NOT circular").select(cols).unionByName(turned)
+    if longest:
+        out = out.unionByName(canonical_rings(rings.filter(F.col("n") > array_steps), keys, longest).select(cols))
+    return out
+
+
+def canonical_steps(steps: DataFrame, keys: Sequence[str] = ("kar_id", "walk_id"), bound: int | None = None,
                     array_steps: int = ARRAY_STEPS) -> DataFrame:
     """Every walk in canonical strand (and rotation), one row per step."""
-    longest = longest_circular(steps) if longest is None else longest
-    linear = steps.filter("NOT circular")
+    turned = ring_steps(steps, keys, bound, array_steps)
+    linear = turned.filter("NOT circular")
     # position m against its mirror image: the first m where they differ decides the strand
     mirror = linear.select(
         *keys,
@@ -147,16 +167,7 @@ def canonical_steps(steps: DataFrame, keys: Sequence[str] = ("kar_id", "walk_id"
         "n",
         F.when(F.col("flip"), -F.col("node")).otherwise(F.col("node")).alias("node"),
     )
-    short = collect_walks(steps.filter(F.col("circular") & (F.col("n") <= array_steps)), keys)
-    rings = short.select(
-        *keys, "circular", "n", F.posexplode(canonical_walk(F.col("nodes"), F.lit(True))).alias("p", "node")
-    ).select(*keys, "circular", (F.col("p") + 1).cast("long").alias("pos"), "n", "node")
-    out = flipped.unionByName(rings)
-    if longest > array_steps:
-        out = out.unionByName(
-            canonical_rings(steps.filter(F.col("circular") & (F.col("n") > array_steps)), keys, longest)
-        )
-    return out
+    return flipped.unionByName(turned.filter("circular"))
 
 
 def representatives(keyed: DataFrame, item: str, out: str = "rep_id") -> DataFrame:
@@ -230,3 +241,10 @@ def fnv_key(karyotypes: pd.Series) -> pd.Series:
         return f"{h:016x}"
 
     return karyotypes.map(one)
+
+
+def fnv_keys(walks: DataFrame, kar: str = "kar_id") -> DataFrame:
+    """``(kar, hash)`` for walks as arrays (short karyotypes only; :func:`karyotype_keys` has no such limit)."""
+    shape = F.struct(canonical_walk(F.col("nodes"), F.col("circular")).alias("nodes"), F.col("circular"))
+    packed = walks.select(kar, shape.alias("w")).groupBy(kar).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return packed.select(kar, fnv_key("w").alias("hash"))

@@ -23,6 +23,7 @@ def with_next(steps: DataFrame, k: int, keys: Sequence[str] = ("walk_id",), bloc
     ``short_rings`` shorter rings are followed for one more lap and end there.
     """
     span = k - 1
+    block = max(block, k)  # the copied steps must fit into one block
     wraps = F.col("circular") & (F.col("pos") <= span)
     if not short_rings:
         wraps = wraps & (F.lit(span) <= F.col("n"))

@@ -22,8 +22,8 @@ HASH_BUCKETS = 8192
 BLOCK = 1 << 16
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
-    """Keys holding more than ``max(min_rows, HOT_SHARE * rows)`` rows.
+def key_profile(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> tuple[list, int]:
+    """Keys holding more than ``max(min_rows, HOT_SHARE * rows)`` rows, and an upper bound on rows per key.
 
     Rows are first counted per hash bucket: map-side combining leaves at most ``HASH_BUCKETS`` counts
     to shuffle.  A bucket below the threshold cannot hide a hot key, so keys are counted only inside
@@ -31,12 +31,18 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS))
     sizes = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    bound = max((r["c"] for r in sizes), default=0)
     floor = max(min_rows, HOT_SHARE * sum(r["c"] for r in sizes))
     full = [r["b"] for r in sizes if r["c"] > floor]
     if not full:
-        return []
+        return [], bound
     counts = df.filter(bucket.isin(full) & F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    return [r[0] for r in counts.filter(F.col("c") > floor).collect()]
+    return [r[0] for r in counts.filter(F.col("c") > floor).collect()], bound
+
+
+def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
+    """Only the hot keys of :func:`key_profile`."""
+    return key_profile(df, key, min_rows)[0]
 
 
 def number_rows(

@@ -11,6 +11,7 @@ from walkweave.operators import intervals as I
 from walkweave.operators import reads as R
 from walkweave.plans import tables as T
 from walkweave.plans.contact_queries import HALVES, placed_sql
+from walkweave.plans.graph_queries import CANON
 from walkweave.plans.oracle import CUSTOMER_STEPS, GENOME, ORDER_STEPS, PAIRS
 from walkweave.session import cut
 from walkweave.sources.calibration import INTERCHROM_DENSITY
@@ -79,7 +80,8 @@ def read_separability(spark, sf):
 
 def aligned_walks(spark, sf):
     """Alignment cost of each walk with the walk of the same flag in the next order of its customer."""
-    walks = D.weighted_walks(T.order_walks(spark, sf).df, T.genome(spark, sf)).withColumn("flag", F.col("walk_id") % 3)
+    source = T.order_walks(spark, sf)
+    walks = D.weighted_walks(source.df, T.genome(spark, sf), bound=source.longest).withColumn("flag", F.col("walk_id") % 3)
     pairs = T.order_pairs(spark, sf)
     a = pairs.join(walks.select(F.col("kar_id").alias("kar_a"), "flag", F.col("nodes").alias("x"), "ws", F.col("total").alias("wx")), "kar_a")
     b = walks.select(F.col("kar_id").alias("kar_b"), "flag", F.col("nodes").alias("y"), F.col("total").alias("wy"))
@@ -87,12 +89,17 @@ def aligned_walks(spark, sf):
     return a.join(b, ["kar_b", "flag"]).select("pair_id", "flag", cost.alias("cost"))
 
 
+def _edit(spark, sf, **kw):
+    walks = T.order_walks(spark, sf)
+    return D.edit_distance(T.order_pairs(spark, sf), walks.df, T.genome(spark, sf), bound=walks.longest, **kw)
+
+
 def edit_distance(spark, sf):
-    return D.edit_distance(T.order_pairs(spark, sf), T.order_walks(spark, sf).df, T.genome(spark, sf))
+    return _edit(spark, sf)
 
 
 def edit_distance_unit(spark, sf):
-    return D.edit_distance(T.order_pairs(spark, sf), T.order_walks(spark, sf).df, T.genome(spark, sf), unit=True)
+    return _edit(spark, sf, unit=True)
 
 
 def _pixels(spark, sf):
@@ -201,9 +208,14 @@ def _lcs(unit: bool) -> str:
     """Alignment cost ``cost(xid, yid, cost)`` for the rows of ``ask(xid, yid)`` over ``arrw``."""
     w = "1.0::DOUBLE" if unit else "g.width::DOUBLE"
     return f"""
+{CANON.replace('arr AS', 'carr AS').replace('FROM arr', 'FROM carr')},
+opened AS (
+  SELECT kar_id, walk_id, k AS pos, q[k] AS node FROM (
+    SELECT kar_id, walk_id, CASE WHEN circular THEN c ELSE (SELECT any_value(a) FROM carr x WHERE x.walk_id = canon.walk_id) END AS q,
+           unnest(range(1, len(c) + 1)) AS k FROM canon)),
 arrw AS (
   SELECT kar_id, walk_id, list(node ORDER BY pos) AS a, list({w} ORDER BY pos) AS w, sum({w}) AS total
-  FROM steps s JOIN genome g ON g.node_id = abs(s.node) GROUP BY kar_id, walk_id),
+  FROM opened s JOIN genome g ON g.node_id = abs(s.node) GROUP BY kar_id, walk_id),
 strands AS (
   SELECT xid, yid, x.a AS x, x.w AS w, y.a AS y, 1 AS st FROM ask JOIN arrw x ON x.walk_id = xid JOIN arrw y ON y.walk_id = yid
   UNION ALL
@@ -219,7 +231,7 @@ cost AS (
   SELECT xid, yid, max(best[len(y) + 1]) AS common FROM dp WHERE i = len(x) GROUP BY xid, yid)"""
 
 
-def _edit(unit: bool) -> str:
+def _edit_sql(unit: bool) -> str:
     """Six assignments of at most three walks a side (missing walks are empty)."""
     cell = lambda i, j: (f"coalesce(max(c) FILTER (fa = {i} AND fb = {j}), 0)")
     cells = ", ".join(f"{cell(i, j)} AS c{i}{j}" for i in range(3) for j in range(3))
@@ -304,10 +316,10 @@ QUERIES = {
         {_lcs(False)}
         SELECT pair_id, xid % 3 AS flag, x.total + y.total - 2 * common AS cost
         FROM pairs JOIN arrw x ON x.kar_id = kar_a JOIN arrw y ON y.kar_id = kar_b JOIN cost ON xid = x.walk_id AND yid = y.walk_id"""),
-    "edit_distance": (edit_distance, f"{_edit(False)} SELECT pair_id, edit FROM edit"),
-    "edit_distance_unit": (edit_distance_unit, f"{_edit(True)} SELECT pair_id, edit FROM edit"),
+    "edit_distance": (edit_distance, f"{_edit_sql(False)} SELECT pair_id, edit FROM edit"),
+    "edit_distance_unit": (edit_distance_unit, f"{_edit_sql(True)} SELECT pair_id, edit FROM edit"),
     "contact_kl": (contact_kl, f"WITH {GENOME}, {ORDER_STEPS}, {PAIRS}, {HIC} SELECT pair_id, round(hic, 5) AS hic FROM hic"),
-    "pair_distances": (pair_distances, f"""{_edit(False)}, {HIC.replace('crd', 'hcrd')},
+    "pair_distances": (pair_distances, f"""{_edit_sql(False)}, {HIC.replace('crd', 'hcrd')},
         {PAIR_WORDS.replace(PAIRS + ',', '').replace('crd', 'wcrd')}, {_probs(1e-5)}, {KL_LR}
         SELECT e.pair_id, round(hic, 5) AS hic, edit, longread FROM edit e JOIN hic USING (pair_id) LEFT JOIN lr USING (pair_id)"""),
     "region_kl": (region_kl, f"""WITH {GENOME}, {HALVES},

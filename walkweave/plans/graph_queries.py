@@ -69,21 +69,31 @@ def walks_from_wiring(spark, sf):
 
 
 def canonical_steps(spark, sf):
-    return C.canonical_steps(T.order_walks(spark, sf).df).select("walk_id", "pos", "node")
+    walks = T.order_walks(spark, sf)
+    return C.canonical_steps(walks.df, bound=walks.longest).select("walk_id", "pos", "node")
 
 
 def walk_classes(spark, sf):
-    steps = T.customer_walks(spark, sf).df
-    return C.representatives(C.walk_keys(steps), "walk_id").select("walk_id", "rep_id", "members")
+    walks = T.customer_walks(spark, sf)
+    keys = cut(C.walk_keys(walks.df, bound=walks.longest))
+    return C.representatives(keys, "walk_id").select("walk_id", "rep_id", "members")
 
 
 def karyotype_classes(spark, sf):
-    keys = C.karyotype_keys(C.walk_keys(T.order_walks(spark, sf).df))
+    walks = T.order_walks(spark, sf)
+    keys = cut(C.karyotype_keys(C.walk_keys(walks.df, bound=walks.longest)))
     return C.representatives(keys, "kar_id").select("kar_id", "rep_id", "members")
 
 
+def karyotype_hashes(spark, sf):
+    """64-bit keys of whole karyotypes in their exact spelling (no SQL counterpart)."""
+    steps = T.order_walks(spark, sf).df
+    return C.fnv_keys(C.collect_walks(steps))
+
+
 def unique_circular_walks(spark, sf):
-    keys = C.walk_keys(T.customer_walks(spark, sf).df)
+    walks = T.customer_walks(spark, sf)
+    keys = C.walk_keys(walks.df, bound=walks.longest)
     return C.unique_walks(keys, "walk_id", "circular").select("walk_id", F.col("len").alias("n"), "members")
 
 
@@ -97,7 +107,7 @@ SAMPLES = 4
 
 def sampled_karyotypes(spark, sf):
     w, split = _gid_wiring(spark, sf)
-    steps = cut(S.sample_walks(w, SAMPLES, seed=7, split=split))
+    steps = cut(S.sample_walks(w, SAMPLES, seed=7, unique=False, split=split))
     kars = S.unique_karyotypes(steps)
     return kars.select("gid", (F.col("kar_id") % SAMPLES).cast("int").alias("sample"), F.col("len").alias("walks"), "circ")
 
@@ -109,7 +119,7 @@ def sampled_wirings(spark, sf):
 
 def saturation(spark, sf):
     w, split = _gid_wiring(spark, sf)
-    steps = cut(S.sample_walks(w, SAMPLES, seed=7, split=split))
+    steps = cut(S.sample_walks(w, SAMPLES, seed=7, unique=False, split=split))
     return S.saturation(S.unique_karyotypes(steps), (1, 2, SAMPLES), SAMPLES)
 
 
@@ -306,6 +316,7 @@ QUERIES = {
         kar AS (SELECT kar_id, list(c::VARCHAR || circular::VARCHAR ORDER BY c::VARCHAR || circular::VARCHAR) AS k
                 FROM canon GROUP BY kar_id)
         SELECT kar_id, min(kar_id) OVER (PARTITION BY k) AS rep_id, count(*) OVER (PARTITION BY k) AS members FROM kar"""),
+    "karyotype_hashes": (karyotype_hashes, None),
     "unique_circular_walks": (unique_circular_walks, _with(CUSTOMER_STEPS, CANON) +
         " SELECT min(walk_id) AS walk_id, CAST(len(c) AS BIGINT) AS n, count(*) AS members FROM canon WHERE circular GROUP BY c"),
     "linear_karyotypes": (linear_karyotypes, _with(ORDER_STEPS) + """

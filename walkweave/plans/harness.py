@@ -1,0 +1,90 @@
+"""Timing traversal and key variants on named graphs, with an equality check of their partitions."""
+
+from __future__ import annotations
+
+import subprocess
+import time
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from walkweave.operators import canonical as C
+from walkweave.operators import graph as G
+from walkweave.operators import sampling as S
+from walkweave.operators.traversal import traverse, traverse_joins
+from walkweave.session import cut
+from walkweave.sources.generators import bench_walks, walk_steps
+from walkweave.sources.sinks import HISTORY
+
+
+@dataclass(frozen=True)
+class Config:
+    """A pair of functions: wiring -> steps, and steps -> one key per karyotype."""
+
+    traverse: Callable[[DataFrame], DataFrame]
+    key: Callable[[DataFrame], DataFrame]
+
+
+def hashed_key(steps: DataFrame) -> DataFrame:
+    keys = C.karyotype_keys(C.walk_keys(steps))
+    return keys.select("kar_id", F.concat_ws(":", *C.KEY).alias("key"))
+
+
+def text_key(steps: DataFrame) -> DataFrame:
+    return C.sort_key(C.collect_walks(steps))
+
+
+def default_configs() -> dict[str, Config]:
+    joins = lambda w: traverse_joins(w, w.groupBy("gid").count().agg(F.max("count")).first()[0])
+    return {
+        "joins_text": Config(joins, text_key),
+        "joins_hash": Config(joins, hashed_key),
+        "batch_text": Config(traverse, text_key),
+        "batch_hash": Config(traverse, hashed_key),
+    }
+
+
+def partition_of(keys: DataFrame) -> DataFrame:
+    """Equivalence fingerprint: the least karyotype sharing the key."""
+    return keys.select("kar_id", F.min("kar_id").over(Window.partitionBy("key")).alias("rep"))
+
+
+def bench_graph(spark: SparkSession, walks: Sequence[Sequence[int]], samples: int, configs: Mapping[str, Config],
+                name: str, seed: int = 1) -> list[tuple]:
+    """Rows ``(graph, N, version, phase, seconds)``; raises if two configs group the samples differently."""
+    steps = walk_steps(spark, walks).withColumn("gid", F.lit(0).cast("long"))
+    ext = cut(G.subids(G.walk_external(steps, ["gid"]), ["gid"]))
+    drawn = S.sample_wirings(G.wiring(ext, ["gid"]), samples, seed)
+    wirings = cut(drawn.select(S.sample_id(F.col("gid"), F.col("sample"), samples).alias("gid"), "id", "n", "left", "right"))
+    out, reference = [], None
+    for version, config in configs.items():
+        start = time.time()
+        walked = cut(config.traverse(wirings).select(
+            F.col("gid").alias("kar_id"), F.col("walk").alias("walk_id"), "circular", "pos", "n", "node"))
+        mid = time.time()
+        keys = cut(config.key(walked))
+        end = time.time()
+        groups = partition_of(keys)
+        if reference is None:
+            reference = (version, groups)
+        elif groups.exceptAll(reference[1]).count():
+            raise RuntimeError(f"{version} and {reference[0]} group the samples of {name} differently")
+        out += [(name, samples, version, phase, sec) for phase, sec in
+                (("traverse", mid - start), ("hash", end - mid), ("total", end - start))]
+    return out
+
+
+def bench_all(spark: SparkSession, sizes: Sequence[int] = (1000, 10000), configs: Mapping[str, Config] | None = None,
+              graphs: Mapping[str, Sequence[Sequence[int]]] | None = None) -> DataFrame:
+    """The whole battery as a history table (append it with :func:`walkweave.sources.sinks.append_history`)."""
+    configs = configs or default_configs()
+    graphs = graphs or bench_walks()
+    if not graphs:
+        raise ValueError("no graphs to benchmark")
+    rows = [r for name, walks in graphs.items() for n in sizes for r in bench_graph(spark, walks, n, configs, name)]
+    commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False).stdout.strip() or None
+    table = spark.createDataFrame(rows, "graph string, N long, version string, phase string, seconds double")
+    done = table.withColumns({"date": F.current_timestamp(), "git_commit": F.lit(commit), "n_configs": F.lit(len(configs))})
+    return done.select([F.col(c.split()[0]).cast(c.split()[1]) for c in HISTORY.split(", ")])

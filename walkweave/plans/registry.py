@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graph_queries", "contact_queries", "likelihood_queries", "distance_queries", "inference_queries")
+MODULES = (
+    "graph_queries", "contact_queries", "likelihood_queries", "distance_queries", "inference_queries", "training_queries",
+)
 
 
 def registered() -> dict:

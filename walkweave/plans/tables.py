@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from walkweave.operators.skew import heavy_keys, number_rows
+from walkweave.operators.skew import heavy_keys, key_profile, number_rows
 
 SEGMENTS = 120
 PER_CHROMOSOME = 10
@@ -24,10 +24,14 @@ STEP_ORDER = (
 
 @dataclass(frozen=True)
 class Walks:
-    """Walk steps ``(kar_id, walk_id, circular, pos, n, node)``; ``split`` marks hot walks."""
+    """Walk steps ``(kar_id, walk_id, circular, pos, n, node)``.
+
+    ``split`` tells that some walk is hot, ``longest`` bounds the steps of a walk from above.
+    """
 
     df: DataFrame
     split: bool
+    longest: int
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +67,7 @@ def _steps(spark: SparkSession, sf_dir: str, per_flag: bool) -> Walks:
             F.col("o_orderkey").alias("walk_id"), "o_custkey", "o_orderstatus"
         )
         lineitem = lineitem.withColumn("walk_id", F.col("l_orderkey"))
-    hot = heavy_keys(lineitem.select("walk_id"), "walk_id")
+    hot, longest = key_profile(lineitem.select("walk_id"), "walk_id")
     base = lineitem.withColumn("node", node.cast("int"))
     if not per_flag:
         base = base.join(orders, "walk_id")
@@ -72,6 +76,7 @@ def _steps(spark: SparkSession, sf_dir: str, per_flag: bool) -> Walks:
     return Walks(
         numbered.select(kar.alias("kar_id"), "walk_id", circular.alias("circular"), "pos", "n", "node"),
         bool(hot),
+        longest,
     )
 
 
