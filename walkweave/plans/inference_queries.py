@@ -39,23 +39,23 @@ def _scores(spark, sf, legacy=False):
 
 
 def walk_scores(spark, sf):
-    return _scores(spark, sf).withColumn("nll", F.round("nll", 3))
+    return _scores(spark, sf).withColumn("nll", F.round("nll", 1))
 
 
 def walk_scores_legacy(spark, sf):
-    return _scores(spark, sf, legacy=True).withColumn("nll", F.round("nll", 3))
+    return _scores(spark, sf, legacy=True).withColumn("nll", F.round("nll", 1))
 
 
 def best_fits(spark, sf):
-    return INF.best_fits(cut(_scores(spark, sf).withColumn("nll", F.round("nll", 3))), 10)
+    return INF.best_fits(cut(_scores(spark, sf).withColumn("nll", F.round("nll", 1))), 10)
 
 
 def fit_gaps(spark, sf):
     """Orders of a priority class ranked by score, with the gap to the next one."""
     orders = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("kar_id"), "o_custkey", "o_orderpriority")
-    scores = _scores(spark, sf).withColumn("nll", F.round("nll", 3)).join(orders, "kar_id")
+    scores = _scores(spark, sf).withColumn("nll", F.round("nll", 1)).join(orders, "kar_id")
     ranked = INF.rank_table(scores, ["o_custkey"], F.col("o_orderpriority") == "1-URGENT")
-    return ranked.select("o_custkey", "kar_id", "nll", "rank", F.round("gap", 3).alias("gap"), "is_truth")
+    return ranked.select("o_custkey", "kar_id", "nll", "rank", F.round("gap", 1).alias("gap"), "is_truth")
 
 
 def _copies(spark, sf):
@@ -181,7 +181,7 @@ g2 AS (SELECT grid.*, coalesce(o.value, 0) AS x FROM grid LEFT JOIN obs o ON o.i
 tot AS (SELECT sum({_nll('x', 'base', legacy)}) AS t FROM g2),
 own AS (SELECT kar_id, area, base, x, base + v * {DEPTH / 2!r}::DOUBLE AS mu FROM intra JOIN g2 ON g2.i = intra.i AND g2.j = intra.j),
 scores AS (
-  SELECT kar_id, round((SELECT t FROM tot) + sum({_nll('x', 'mu', legacy)} - {_nll('x', 'base', legacy)}), 3) AS nll FROM own GROUP BY kar_id)"""
+  SELECT kar_id, round((SELECT t FROM tot) + sum({_nll('x', 'mu', legacy)} - {_nll('x', 'base', legacy)}), 1) AS nll FROM own GROUP BY kar_id)"""
 
 
 HCOPIES = f"""
@@ -242,7 +242,7 @@ QUERIES = {
     "best_fits": (best_fits, f"""{_scored(False)}
         SELECT kar_id, nll, CAST(rank AS INTEGER) AS rank FROM (SELECT *, rank() OVER (ORDER BY nll) AS rank FROM scores) WHERE rank <= 10"""),
     "fit_gaps": (fit_gaps, f"""{_scored(False)}
-        SELECT o_custkey, kar_id, nll, CAST(row_number() OVER w AS INTEGER) AS rank, round(lead(nll) OVER w - nll, 3) AS gap,
+        SELECT o_custkey, kar_id, nll, CAST(row_number() OVER w AS INTEGER) AS rank, round(lead(nll) OVER w - nll, 1) AS gap,
                o_orderpriority = '1-URGENT' AS is_truth
         FROM scores JOIN orders ON o_orderkey = kar_id WINDOW w AS (PARTITION BY o_custkey ORDER BY nll, kar_id)"""),
     "export_nodes": (export_nodes, f"WITH {GENOME}, {CUSTOMER_STEPS}, {HCOPIES} SELECT unique_id, node_id, side, e - s + 1 AS width FROM hc"),

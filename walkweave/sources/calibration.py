@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 KNOT_X = (7.0, 8.5, 10.0, 11.5, 13.0, 14.5, 16.0, 17.5, 19.0)
 KNOT_Y = (-16.1, -17.5, -19.1, -20.6, -21.9, -23.3, -25.1, -27.2, -29.6)
 DIAGONAL = (-11.2, 2 / 3)
-INTERCHROM_DENSITY = 1e-11
+INTERCHROM_DENSITY = 1.03714159e-11
 MIN_RESOLUTION = 1e4
 # Fixed value: beyond this distance density falls as 1/distance.
 MAX_DISTANCE = 1e8
