@@ -318,6 +318,7 @@ def test_collapse_drops_detours(spark):
         got = {r["walk_id"]: r["bands"] for r in CO.collapsed_text(out).collect()}
         assert got[0] == "1|2|3|4|5" and got[2] == "-3|-2|8|9"
         assert got[1] == "1|2|NA"
+        assert CO.collapsed_keys(out, ["walk_id"], split).select("len", "h1", "h2").distinct().count() == 3
 
 
 def test_entropy_and_peeling(spark):

@@ -13,15 +13,17 @@ from walkweave.operators.graph import _before
 def footprint(ranges: DataFrame, by: Sequence[str] = ("seqnames",), bin_width: int = 1 << 20) -> DataFrame:
     """Union of ranges as maximal disjoint ranges (adjacent ones merge).
 
-    Ranges are cut at bin borders and merged inside each bin, which is where the volume goes; the
-    merged pieces of neighbouring bins are then joined up.
+    Ranges are cut at bin borders and merged inside each bin.  Only pieces touching a border, at most
+    two per bin, can go on in a neighbouring bin; these alone are merged once more.
     """
     cutup = explode_bins(ranges.select(*by, "start", "end"), bin_width).select(
         *by, "_bin",
         F.greatest("start", F.col("_bin") * bin_width).alias("start"),
         F.least("end", (F.col("_bin") + 1) * bin_width - 1).alias("end"),
     )
-    return _merge(_merge(cutup, [*by, "_bin"]), list(by))
+    pieces = _merge(cutup, [*by, "_bin"]).drop("_bin")
+    touches = (F.col("start") % bin_width == 0) | ((F.col("end") + 1) % bin_width == 0)
+    return pieces.filter(~touches).unionByName(_merge(pieces.filter(touches), list(by)))
 
 
 def _merge(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def loose_ends(spark, sf):
 
 def _external(spark, sf):
     walks = T.customer_walks(spark, sf)
-    return cut(G.subids(G.walk_external(walks.df, BY, CHR), BY, walks.split)), walks.split
+    return cut(G.subids(G.walk_external(walks.df, BY, CHR), BY, walks.hot_kar)), walks.hot_kar
 
 
 def external_edges(spark, sf):
@@ -85,12 +85,6 @@ def karyotype_classes(spark, sf):
     return C.representatives(keys, "kar_id").select("kar_id", "rep_id", "members")
 
 
-def karyotype_hashes(spark, sf):
-    """64-bit keys of whole karyotypes in their exact spelling (no SQL counterpart)."""
-    steps = T.order_walks(spark, sf).df
-    return C.fnv_keys(C.collect_walks(steps))
-
-
 def unique_circular_walks(spark, sf):
     walks = T.customer_walks(spark, sf)
     keys = C.walk_keys(walks.df, bound=walks.longest)
@@ -316,7 +310,6 @@ QUERIES = {
         kar AS (SELECT kar_id, list(c::VARCHAR || circular::VARCHAR ORDER BY c::VARCHAR || circular::VARCHAR) AS k
                 FROM canon GROUP BY kar_id)
         SELECT kar_id, min(kar_id) OVER (PARTITION BY k) AS rep_id, count(*) OVER (PARTITION BY k) AS members FROM kar"""),
-    "karyotype_hashes": (karyotype_hashes, None),
     "unique_circular_walks": (unique_circular_walks, _with(CUSTOMER_STEPS, CANON) +
         " SELECT min(walk_id) AS walk_id, CAST(len(c) AS BIGINT) AS n, count(*) AS members FROM canon WHERE circular GROUP BY c"),
     "linear_karyotypes": (linear_karyotypes, _with(ORDER_STEPS) + """

@@ -11,6 +11,7 @@ from walkweave.operators import inference as INF
 from walkweave.operators import intervals as I
 from walkweave.operators import pairing as P
 from walkweave.operators import sampling as S
+from walkweave.operators.skew import heavy_keys
 from walkweave.operators.traversal import traverse
 from walkweave.plans import tables as T
 from walkweave.plans.contact_queries import BIN, HALVES, NODE_TILES, PIX, WINDOWS, _node_tiles, genome_windows, placed_sql, rebin_sql
@@ -54,8 +55,9 @@ def fit_gaps(spark, sf):
     """Orders of a priority class ranked by score, with the gap to the next one."""
     orders = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("kar_id"), "o_custkey", "o_orderpriority")
     scores = _scores(spark, sf).withColumn("nll", F.round("nll", 1)).join(orders, "kar_id")
-    ranked = INF.rank_table(scores, ["o_custkey"], F.col("o_orderpriority") == "1-URGENT")
-    return ranked.select("o_custkey", "kar_id", "nll", "rank", F.round("gap", 1).alias("gap"), "is_truth")
+    hot = heavy_keys(orders.select("o_custkey"), "o_custkey")
+    ranked = INF.rank_table(scores, "o_custkey", F.col("o_orderpriority") == "1-URGENT", hot)
+    return ranked.select("o_custkey", "kar_id", "nll", F.col("rank").cast("int").alias("rank"), F.round("gap", 1).alias("gap"), "is_truth")
 
 
 def _copies(spark, sf):
@@ -86,16 +88,21 @@ def band_rows(spark, sf):
     return CO.band_rows(T.genome(spark, sf), genome_windows(spark, sf), BIN)
 
 
-def collapsed_walks(spark, sf):
+def _collapsed(spark, sf):
     walks = T.customer_walks(spark, sf)
     rows = band_rows(spark, sf).select("row_id", "node_id", "seqnames", "width")
-    out = CO.collapse_walks(walks.df, rows, MIN_WIDTH, split=walks.split)
-    return CO.collapsed_text(out, ["walk_id"])
+    return CO.collapse_walks(walks.df, rows, MIN_WIDTH, ["walk_id"], split=walks.split), walks.split
+
+
+def collapsed_walks(spark, sf):
+    return _collapsed(spark, sf)[0].select("walk_id", "pos", "row_out")
 
 
 def collapsed_classes(spark, sf):
-    """How many walks show the same collapsed form."""
-    return collapsed_walks(spark, sf).groupBy("bands").agg(F.count(F.lit(1)).alias("walks"), F.min("walk_id").alias("walk_id"))
+    """How many walks collapse to the same rows, and the first of them."""
+    rows, split = _collapsed(spark, sf)
+    return CO.collapsed_keys(rows, split=split).groupBy("len", "h1", "h2").agg(
+        F.min("walk_id").alias("walk_id"), F.count(F.lit(1)).alias("walks")).select("walk_id", "walks")
 
 
 def _amplicon(spark, sf):
@@ -266,9 +273,9 @@ QUERIES = {
         ep AS (SELECT edge_id, role, unique_id FROM eo LEFT JOIN hc USING (node_id, side, occ))
         SELECT edge_id, max(unique_id) FILTER (role = 1) AS n1, max(unique_id) FILTER (role = 2) AS n2 FROM ep GROUP BY edge_id"""),
     "band_rows": (band_rows, f"""WITH {GENOME}, {BANDS} SELECT row_id, node_id, band_id, seqnames, s AS "start", e AS "end", width FROM brow"""),
-    "collapsed_walks": (collapsed_walks, f"WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED} SELECT walk_id, bands FROM coll"),
+    "collapsed_walks": (collapsed_walks, f"WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED} SELECT walk_id, k AS pos, CAST(nullif(o, 'NA') AS INTEGER) AS row_out FROM outp WHERE NOT coalesce(dup, false)"),
     "collapsed_classes": (collapsed_classes, f"""WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED}
-        SELECT bands, count(*) AS walks, min(walk_id) AS walk_id FROM coll GROUP BY bands"""),
+        SELECT count(*) AS walks, min(walk_id) AS walk_id FROM coll GROUP BY bands"""),
     "amplicon_entropy": (amplicon_entropy, f"""WITH {GENOME}, {CUSTOMER_STEPS}, {AMP},
         c AS (SELECT kar_id, walk_id, count(*)::DOUBLE AS c FROM steps WHERE abs(node) IN (FROM amp) GROUP BY ALL),
         f AS (SELECT kar_id, c / sum(c) OVER (PARTITION BY kar_id) AS f FROM c)

@@ -26,12 +26,14 @@ STEP_ORDER = (
 class Walks:
     """Walk steps ``(kar_id, walk_id, circular, pos, n, node)``.
 
-    ``split`` tells that some walk is hot, ``longest`` bounds the steps of a walk from above.
+    ``split`` tells that some walk is hot, ``hot_kar`` that some walk or karyotype is, ``longest``
+    bounds the steps of a walk from above.
     """
 
     df: DataFrame
     split: bool
     longest: int
+    hot_kar: bool
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +71,9 @@ def _steps(spark: SparkSession, sf_dir: str, per_flag: bool) -> Walks:
         lineitem = lineitem.withColumn("walk_id", F.col("l_orderkey"))
     hot, longest = key_profile(lineitem.select("walk_id"), "walk_id")
     base = lineitem.withColumn("node", node.cast("int"))
+    hot_kar = bool(hot)
     if not per_flag:
+        hot_kar = hot_kar or bool(heavy_keys(orders.select("o_custkey"), "o_custkey"))
         base = base.join(orders, "walk_id")
         kar, circular = F.col("o_custkey"), F.col("o_orderstatus") == "P"
     numbered = number_rows(base, "walk_id", F.col("l_shipdate"), [F.col(c) for c in STEP_ORDER], hot)
@@ -77,6 +81,7 @@ def _steps(spark: SparkSession, sf_dir: str, per_flag: bool) -> Walks:
         numbered.select(kar.alias("kar_id"), "walk_id", circular.alias("circular"), "pos", "n", "node"),
         bool(hot),
         longest,
+        hot_kar,
     )
 
 
