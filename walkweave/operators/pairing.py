@@ -9,6 +9,7 @@ equal ends are matched relationally; what remains per graph has distinct copy nu
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from walkweave.functions.rand import draw
 from walkweave.operators.skew import number_rows
+from walkweave.session import cut
 
 _OUT = "gid long, a long, b long, cn long"
 
@@ -38,6 +40,17 @@ def trim_odd(loose: DataFrame, seed: int = 1) -> DataFrame:
 
 def pair_loose_ends(loose: DataFrame, seed: int = 1) -> DataFrame:
     """``(gid, end_id, cn)`` -> junctions ``(gid, a, b, cn)`` using up every copy; ``a = b`` is a fold-back."""
+    return _paired(loose, seed, None)
+
+
+def pair_loose_ends_timed(loose: DataFrame, seed: int, max_seconds: float) -> tuple[DataFrame, DataFrame]:
+    """Junctions as above, and the graphs (``gid``) left unpaired because their search took too long."""
+    found = cut(_paired(loose, seed, max_seconds))
+    late = found.filter("a IS NULL").select("gid")
+    return found.join(late, "gid", "left_anti"), late
+
+
+def _paired(loose: DataFrame, seed: int, max_seconds: float | None) -> DataFrame:
     ends = trim_odd(loose, seed)
     group = F.struct("gid", "cn")
     ranked = number_rows(ends.withColumn("_g", group), "_g", F.floor(F.col("end_id") / (1 << 12)), [F.col("end_id")], hot=None,
@@ -48,31 +61,40 @@ def pair_loose_ends(loose: DataFrame, seed: int = 1) -> DataFrame:
     # at most one end per distinct copy number is left in a graph
     rest = ranked.filter(F.col("_r") > F.col("_t") - F.col("_t") % 2)
     packed = rest.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.col("cn").cast("long").alias("cn"), "end_id"))).alias("ends"))
-    joined = packed.mapInPandas(_pair_batches, _OUT)
+    joined = packed.mapInPandas(lambda it: _pair_batches(it, max_seconds), _OUT)
     return equal.unionByName(joined)
 
 
-def _pair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pair_batches(batches: Iterator[pd.DataFrame], max_seconds: float | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [
-            (gid, *junction)
-            for gid, ends in zip(pdf["gid"], pdf["ends"])
-            for junction in fewest_junctions([(e["end_id"], e["cn"]) for e in ends])
-        ]
-        yield pd.DataFrame(rows, columns=["gid", "a", "b", "cn"])
+        rows = []
+        for gid, ends in zip(pdf["gid"], pdf["ends"]):
+            until = None if max_seconds is None else time.monotonic() + max_seconds
+            try:
+                rows += [(gid, *j) for j in fewest_junctions([(e["end_id"], e["cn"]) for e in ends], until)]
+            except TimeoutError:
+                rows.append((gid, None, None, None))
+        frame = pd.DataFrame(rows, columns=["gid", "a", "b", "cn"])
+        yield frame.astype({"a": "Int64", "b": "Int64", "cn": "Int64"})
+
+
+def _in_time(until: float | None) -> None:
+    if until is not None and time.monotonic() > until:
+        raise TimeoutError
 
 
-def fewest_junctions(ends: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def fewest_junctions(ends: Sequence[tuple[int, int]], until: float | None = None) -> list[tuple[int, int, int]]:
     """Junctions for ends of distinct copy numbers (exact; exponential in their number)."""
     cn = [c for _, c in ends]
     full = (1 << len(ends)) - 1
-    sides = _balanced_sets(cn)
+    sides = _balanced_sets(cn, until)
 
     @lru_cache(maxsize=None)
     def most(mask: int) -> tuple[int, tuple[int, ...]]:
         """Largest family of disjoint balanced sets inside ``mask``."""
         if not mask:
             return 0, ()
+        _in_time(until)
         low = mask & -mask
         best = most(mask ^ low)
         for s in sides:
@@ -92,12 +114,13 @@ def fewest_junctions(ends: Sequence[tuple[int, int]]) -> list[tuple[int, int, in
     return out + _absorb([ends[k] for k in range(len(ends)) if left >> k & 1])
 
 
-def _balanced_sets(cn: Sequence[int]) -> dict[int, int]:
+def _balanced_sets(cn: Sequence[int], until: float | None = None) -> dict[int, int]:
     """Minimal balanced sets (bit masks) with one of their sides."""
     signed = {0: [(0, 0)]}
     for k, c in enumerate(cn):
         grown: dict[int, list] = {d: list(v) for d, v in signed.items()}
         for d, sets in signed.items():
+            _in_time(until)
             for mask, plus in sets:
                 grown.setdefault(d + c, []).append((mask | 1 << k, plus | 1 << k))
                 grown.setdefault(d - c, []).append((mask | 1 << k, plus))
