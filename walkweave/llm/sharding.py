@@ -101,7 +101,7 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame
         w *= 2
         sums.append((w, level))
     spark = counts.sparkSession
-    tree = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*[F.lit(x).cast("long") for x in sizes]).alias("to_shard"))
+    tree = spark.range(1).select(F.col("id").alias("node"), F.array(*[F.lit(x).cast("long") for x in sizes]).alias("to_shard"))
     for w, below in reversed(sums[:-1]):
         first = below.where("node % 2 = 0").select(F.floor(F.col("node") / 2).alias("node"), F.col("n").alias("first"))
         drawn = tree.join(first, "node", "left").select(
