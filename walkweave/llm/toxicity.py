@@ -14,7 +14,7 @@ from .common import rows_of
 from .words import words
 
 #: Bounds of the fit: labelled texts, words as features, different words before a word at least.
-SAMPLE, FEATURES, SUPPORT = 12_000, 4_000, 5
+SAMPLE, FEATURES, SUPPORT = 8_000, 4_000, 5
 #: Labelled texts kept out of the fit, to place the cut: one in FOLD by hash of their id.
 FOLD = 5
 #: Standard errors by which a word's toxic share must differ from that of all.
@@ -22,9 +22,21 @@ DEVIATION = 4.0
 GRADES = 4
 
 
+#: Bytes of a word's beginning that are a feature of their own.
+STEM = 6
+
+
+def tokens(text: bytes):
+    """The words of a text, each followed by its beginning if it is longer than that."""
+    for w in words(text):
+        yield w
+        if len(w) > STEM:
+            yield b"^" + w[:STEM]
+
+
 @dataclass(frozen=True)
 class Ordinal:
-    """P(grade > k) = sigmoid(w x - threshold k), with one w for all thresholds; x is ln(1 + count) of each word."""
+    """P(grade > k) = sigmoid(w x - threshold k), with one w for all thresholds; x is ln(1 + count) of each word or beginning."""
 
     weights: dict[bytes, float]
     thresholds: tuple[float, ...]
@@ -36,6 +48,8 @@ class Ordinal:
         for w in words(text):
             if w in known:
                 counts[w] = counts.get(w, 0) + 1
+            if len(w) > STEM and (w := b"^" + w[:STEM]) in known:
+                counts[w] = counts.get(w, 0) + 1
         z = sum(known[w] * log1p(n) for w, n in counts.items())
         return 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -40, 40)))
 
@@ -96,10 +110,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 counts: dict[bytes, int] = {}
                 first: dict[bytes, bytes] = {}
                 last = b""
-                for w in words(t or b""):
+                for w in tokens(t or b""):
                     counts[w] = counts.get(w, 0) + 1
                     first.setdefault(w, last)
-                    last = w
+                    last = w if w[:1] != b"^" else last
                 for w, n in counts.items():
                     for c, x in zip(out, (d, y, w, n, first[w]), strict=True):
                         c.append(x)
