@@ -83,8 +83,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     across = max(1, -(-rows.count() // candidates))
     down = max(1, -(-asked.count() // queries))
     left = rows.select("*", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(across)).alias("c"),
-                       F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long").alias("q"))
-    right = asked.select("*", F.pmod(F.xxhash64("id"), F.lit(down)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("c"))
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("q"))
+    right = asked.select("*", F.pmod(F.xxhash64("id"), F.lit(down)).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("c"))
 
     def meet(some: pa.Table, ask: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
