@@ -15,8 +15,8 @@ from .words import words
 
 #: Bounds of the fit: labelled texts, words as features, different words before a word at least.
 SAMPLE, FEATURES, SUPPORT = 8_000, 4_000, 5
-#: Labelled texts kept out of the fit, to place the cut: one in FOLD by hash of their id.
-FOLD = 5
+#: Parts of the labelled texts, by hash of their id; the cut is placed on severities from fits without a text's own part.
+FOLDS = 4
 #: Standard errors by which a word's toxic share must differ from that of all.
 DEVIATION = 4.0
 GRADES = 4
@@ -54,7 +54,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -40, 40)))
 
 
-def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, features: int, classes: int, ridge: float = 0.1, steps: int = 300):
+def fit_cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, features: int, classes: int, ridge: float = 0.1, steps: int = 200):
     """Weights and ascending thresholds that maximise the likelihood less ``ridge`` / 2 of the squared weights (Adam)."""
     at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, int)
@@ -131,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     The labels say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to 3 by how many hostile words they hold
     (up to the lower tercile of toxic texts with such words, up to the upper one, more), hostile being words at least 20
     times as frequent among toxic texts. Labels of three values or more are taken as the grades themselves. The cut on
-    the expected severity is the one with the best F1 on the labelled texts left out of the fit, the highest among equal
-    ones. Without labels, or with labels of one kind, nothing is rejected.
+    the expected severity is the one with the best F1 on severities from fits that left the text out, the highest among
+    equal ones. Without labels, or with labels of one kind, nothing is rejected.
     """
     chosen = labelled_sample(docs, labels, sample, doc_id, text, label)
     size = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # One row per sampled text: its features and their counts.
     numbered = df.sparkSession.createDataFrame([(w, k) for w, k in index.items()], "word binary, k int")
     held = (counts.join(F.broadcast(numbered), "word").groupBy("doc_id").agg(F.collect_list(F.struct("k", "n")).alias("x")))
-    rows = (chosen.select("doc_id", "label", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLD)).alias("fold")).distinct()
+    rows = (chosen.select("doc_id", "label", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).alias("fold")).distinct()
             .join(held, "doc_id", "left").orderBy("doc_id").collect())
     x = [(np.array([p["k"] for p in r["x"] or []], int), np.log1p(np.array([p["n"] for p in r["x"] or []], float))) for r in rows]
     y = np.array([r["label"] for r in rows], int)
@@ -167,19 +167,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         one, two = np.quantile(toxic, [1 / 3, 2 / 3]) if len(toxic) else (1, 2)
         grades = np.where(y > 0, 1 + (hits > one) + (hits > max(two, one + 1)), 0)
     classes = int(max(grades.max() + 1, 2))
-    train = np.array([r["fold"] != 0 for r in rows])
-    w, theta = fit_cumulative_link([a for a, t in zip(x, train, strict=True) if t], grades[train], len(index), classes)
-    z = np.array([v @ w[k] if len(k) else 0.0 for k, v in x])
-    severity = (1 / (1 + np.exp(-np.clip(z[:, None] - theta[None, :], -40, 40)))).sum(1)
-    test = ~train if (~train).any() else train
+    fold = np.array([r["fold"] for r in rows])
+
+    def severities(w, theta, part):
+        z = np.array([v @ w[k] if len(k) else 0.0 for k, v in part])
+        return (1 / (1 + np.exp(-np.clip(z[:, None] - theta[None, :], -40, 40)))).sum(1)
+
+    outside = np.zeros(len(rows))
+    for f in range(FOLDS):
+        held = fold == f
+        fitted = fit_cumulative_link([a for a, h in zip(x, held, strict=True) if not h], grades[~held], len(index), classes)
+        outside[held] = severities(*fitted, [a for a, h in zip(x, held, strict=True) if h])
+    w, theta = fit_cumulative_link(x, grades, len(index), classes)
     best, cut = -1.0, float(classes)
-    for c in np.unique(np.round(severity[test], 3)):
-        said = severity[test] >= c
-        f1 = 2 * (said & (y[test] > 0)).sum() / max(1, said.sum() + (y[test] > 0).sum())
+    for c in np.unique(np.round(outside, 3)):
+        said = outside >= c
+        f1 = 2 * (said & (y > 0)).sum() / max(1, said.sum() + (y > 0).sum())
         if f1 >= best:
             best, cut = f1, float(c)
     # Between the texts on both sides of the cut.
-    below = severity[test][severity[test] < cut]
+    below = outside[outside < cut]
     cut = (cut + below.max()) / 2 if len(below) else cut
     return Ordinal({k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-6}, tuple(map(float, theta)), float(cut))
 
