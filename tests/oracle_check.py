@@ -52,7 +52,7 @@ def compare(spark, con, sf_dir, fn, sql):
 
 
 def main(argv):
-    from walkweave.plans.registry import registered
+    from __spark_entry__ import oracle_sql, queries
     from walkweave.session import get_session
 
     sf_dir, wanted = argv[0], argv[1:]
@@ -60,8 +60,10 @@ def main(argv):
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle(sf_dir)
+    con.execute("SET memory_limit = '8GB'")
     bad = 0
-    for name, (fn, sql) in registered().items():
+    for name, fn in queries().items():
+        sql = oracle_sql().get(name)
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         t = time.time()

@@ -1,8 +1,8 @@
 """Counter-based randomness: a value depends only on the seed and the row's own key.
 
 Results therefore do not change with the partitioning, and a lost task recomputes the same draws.
-Keys are folded into one number modulo a 31-bit prime and then mixed; every product fits a signed
-64-bit integer, and the same arithmetic is available as SQL text.
+Keys are folded into two numbers modulo a 31-bit prime, each is mixed, and both make one 62-bit number;
+every product fits a signed 64-bit integer, and the same arithmetic is available as SQL text.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ PRIME = 2147483647
 FOLD = 1103515245
 MIX1 = 1540483477
 MIX2 = 2246822519
+#: Added to the seed for the low half of a draw.
+LOW = 1013904223
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """A 31-bit integer from non-negative integer keys."""
+def _half(seed: int, *keys: Column) -> Column:
     h = F.lit(seed % PRIME).cast("long")
     for k in keys:
         h = (h * FOLD + k.cast("long") % PRIME + 12345) % PRIME
@@ -26,13 +27,17 @@ def draw(seed: int, *keys: Column) -> Column:
     return h
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """An integer below PRIME squared (62 bits) from non-negative integer keys."""
+    return _half(seed, *keys) * PRIME + _half(seed + LOW, *keys)
+
+
 def uniform(seed: int, *keys: Column) -> Column:
-    """Uniform in (0, 1)."""
-    return (draw(seed, *keys).cast("double") + 0.5) / float(PRIME)
+    """Uniform in (0, 1): 52 bits and a half, which a double holds exactly."""
+    return (F.shiftright(draw(seed, *keys), 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def sql_draw(seed: int, *keys: str) -> str:
-    """The same integer as SQL text."""
+def _sql_half(seed: int, *keys: str) -> str:
     h = f"CAST({seed % PRIME} AS BIGINT)"
     for k in keys:
         h = f"(({h} * {FOLD} + ({k}) % {PRIME} + 12345) % {PRIME})"
@@ -40,8 +45,13 @@ def sql_draw(seed: int, *keys: str) -> str:
     return f"((xor({h}, {h} >> 13) * {MIX2}) % {PRIME})"
 
 
+def sql_draw(seed: int, *keys: str) -> str:
+    """The same integer as SQL text."""
+    return f"({_sql_half(seed, *keys)} * {PRIME} + {_sql_half(seed + LOW, *keys)})"
+
+
 def sql_uniform(seed: int, *keys: str) -> str:
-    return f"(({sql_draw(seed, *keys)} + 0.5::DOUBLE) / {PRIME}::DOUBLE)"
+    return f"(((({sql_draw(seed, *keys)}) >> 10) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
 
 
 def geometric(u: Column, log_q: Column) -> Column:

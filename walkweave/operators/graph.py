@@ -233,7 +233,9 @@ def wiring(external: DataFrame, by: Sequence[str] = (), split: bool = False) ->
 
 
 def wiring_id(n: Column, copy: Column) -> Column:
-    return F.shiftleft(n.cast("long"), 40) + copy
+    """Node and copy in one number that may be doubled; fails beyond 2^30 nodes or 2^32 copies of one."""
+    fits = (n < 1 << 30) & (copy < 1 << 32)
+    return F.when(fits, F.shiftleft(n.cast("long"), 32) + copy).otherwise(F.raise_error(F.lit("too many nodes or copies for a wiring id")).cast("long"))
 
 
 def loose_subids(external: DataFrame, by: Sequence[str] = (), split: bool = False) -> DataFrame:

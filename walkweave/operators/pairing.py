@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkweave.functions.rand import draw
+from walkweave.functions.rand import uniform
 from walkweave.operators.skew import number_rows
 from walkweave.session import cut
 
@@ -30,7 +30,7 @@ def trim_odd(loose: DataFrame, seed: int = 1) -> DataFrame:
     The copy is uniform over all copies: every end draws the least of ``cn`` uniform numbers in one
     step (``1 - (1 - u) ** (1 / cn)``) and the least of all wins.
     """
-    u = (draw(seed, F.col("gid"), F.col("end_id")) + 0.5) / 2147483647.0
+    u = uniform(seed, F.col("gid"), F.col("end_id"))
     least = 1 - F.pow(1 - u, 1.0 / F.col("cn"))
     tagged = loose.filter("cn > 0").withColumn("_u", least)
     odd = tagged.groupBy("gid").agg((F.sum("cn") % 2).alias("_odd"), F.min_by("end_id", F.struct("_u", "end_id")).alias("_drop"))

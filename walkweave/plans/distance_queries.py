@@ -19,7 +19,6 @@ from walkweave.sources.calibration import INTERCHROM_DENSITY
 LENGTH = 30_000
 DEPTH = 10
 AREA0 = 1e8
-DRAWS = 20
 DRAW_SETS = 2
 
 
@@ -75,7 +74,8 @@ def call_longreads(spark, sf):
 
 def read_separability(spark, sf):
     both = cut(_pair_words(spark, sf))
-    return R.read_separability(R.sampled_read_ratios(both, DRAWS, DRAW_SETS, seed=3, background=1e-3))
+    reads = int(_reads(spark, sf, 1))
+    return R.read_separability(R.sampled_read_ratios(both, reads, DRAW_SETS, seed=3, background=1e-3))
 
 
 def aligned_walks(spark, sf):
@@ -119,13 +119,13 @@ def pair_distances(spark, sf):
 
 
 def region_kl(spark, sf):
-    """All pairs of regions, a region being the circular walks of its nations' customers."""
+    """All pairs of regions, a region being all walks of its nations' customers."""
     walks = T.customer_walks(spark, sf)
     cust = T.read(spark, sf, "customer").select(F.col("c_custkey").alias("kar_id"), F.col("c_nationkey").alias("n_nationkey"))
     region = T.read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("region"))
     nodes = T.genome(spark, sf)
     member = cust.join(region, "n_nationkey").select("kar_id", "region")
-    steps = walks.df.filter("circular").join(member, "kar_id")
+    steps = walks.df.join(member, "kar_id")
     half = I.half_nodes(nodes)
     pixels = K.walk_pixels(steps, nodes, half, ["region"], split=walks.split)
     pairs = D.all_pairs(region.select("region").distinct(), "region")
@@ -304,7 +304,7 @@ QUERIES = {
                       ELSE sum(w) OVER (PARTITION BY pair_id, source ORDER BY word ROWS UNBOUNDED PRECEDING) END AS hi FROM sides),
         draws AS (
           SELECT pair_id, s AS source, t AS sample, {sql_uniform(3, 'pair_id', 's', 't', 'd')} AS u
-          FROM (SELECT DISTINCT pair_id FROM pw) CROSS JOIN range(2) a(s) CROSS JOIN range(1, {DRAW_SETS + 1}) b(t) CROSS JOIN range(1, {DRAWS + 1}) c(d)),
+          FROM (SELECT DISTINCT pair_id FROM pw) CROSS JOIN range(2) a(s) CROSS JOIN range(1, {DRAW_SETS + 1}) b(t) CROSS JOIN (SELECT unnest(range(1, CAST(floor((sum(width) + 2 * {LENGTH}) / {LENGTH}::DOUBLE) AS INTEGER) + 1)) AS d FROM genome) c),
         rat AS (
           SELECT d.pair_id, d.source, d.sample, sum(llr) AS llr FROM draws d
           JOIN spans x ON x.pair_id = d.pair_id AND x.source = d.source AND d.u >= x.lo AND d.u < x.hi GROUP BY ALL)
@@ -325,7 +325,7 @@ QUERIES = {
     "region_kl": (region_kl, f"""WITH {GENOME}, {HALVES},
         {CUSTOMER_STEPS.replace('steps AS', 'csteps AS')},
         steps AS (SELECT c.* REPLACE (CAST(n_regionkey AS BIGINT) AS kar_id) FROM csteps c JOIN customer ON c_custkey = kar_id
-                  JOIN nation ON n_nationkey = c_nationkey WHERE circular),
+                  JOIN nation ON n_nationkey = c_nationkey),
         {placed_sql('halves', by='kar_id,')},
         regs AS (SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS r FROM nation),
         rp AS (SELECT a.r * 100 + b.r AS pair_id, a.r AS kar_a, b.r AS kar_b FROM regs a JOIN regs b ON a.r < b.r),

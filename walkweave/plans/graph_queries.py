@@ -174,7 +174,7 @@ ext0 AS (
   SELECT kar_id, n1, n1_side, n2, n2_side, cn, type, 0 AS cls FROM edges
   UNION ALL SELECT kar_id, 0, 'right', node_id, 'left', cn, 'LOO', 1 FROM loose WHERE side = 'left' AND cn > 0
   UNION ALL SELECT kar_id, node_id, 'right', 0, 'left', cn, 'LOO', 2 FROM loose WHERE side = 'right' AND cn > 0),
-ext AS (
+ext AS MATERIALIZED (
   SELECT kar_id, n1, n1_side, n2, n2_side, cn, type,
          CAST(coalesce(sum(cn) OVER (PARTITION BY kar_id ORDER BY cls, n1, n1_side, n2, n2_side
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_subid
@@ -186,13 +186,12 @@ halves AS (
   SELECT kar_id, n1 AS n, n1_side AS side, 1 AS role, first_subid + unnest(range(cn)) + 1 AS subid FROM ext WHERE n1 > 0
   UNION ALL
   SELECT kar_id, n2, n2_side, 2, first_subid + unnest(range(cn)) + 1 FROM ext WHERE n2 > 0),
-slots AS (
+slots AS MATERIALIZED (
   SELECT kar_id, n, side, subid,
          row_number() OVER (PARTITION BY kar_id, n, side ORDER BY role, subid) AS copy FROM halves),
-wiring AS (
-  SELECT l.kar_id AS gid, l.n, l.copy, l.subid AS "left", r.subid AS "right"
-  FROM slots l JOIN slots r ON l.kar_id = r.kar_id AND l.n = r.n AND l.copy = r.copy
-  WHERE l.side = 'left' AND r.side = 'right')"""
+wiring AS MATERIALIZED (
+  SELECT kar_id AS gid, n, copy, max(subid) FILTER (side = 'left') AS "left", max(subid) FILTER (side = 'right') AS "right"
+  FROM slots GROUP BY kar_id, n, copy)"""
 
 
 def walked(src: str) -> str:
@@ -242,11 +241,11 @@ canon AS (
   FROM arr)"""
 
 SAMPLED = f"""
-draws AS (
+draws AS MATERIALIZED (
   SELECT gid, s AS sample, n, copy, "left", "right",
          {sql_draw(7, 's', 'gid', 'n', 'copy')} AS o
   FROM wiring CROSS JOIN range({SAMPLES}) r(s)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY gid, sample, n ORDER BY o, copy) AS slot FROM draws),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gid, sample, n ORDER BY o, copy) AS slot FROM draws),
 sampled AS (
   SELECT l.gid, CAST(l.sample AS INTEGER) AS sample, l.n, l.copy, l."left", r."right"
   FROM ranked l JOIN ranked r ON l.gid = r.gid AND l.sample = r.sample AND l.n = r.n AND l.copy = r.slot)"""

@@ -36,7 +36,8 @@ def _half_contacts(spark, sf):
 
 def _scores(spark, sf, legacy=False):
     observed, half = _half_contacts(spark, sf)
-    return INF.score_candidates(_pixels(spark, sf), cut(observed), half, DEPTH, area0=AREA0, legacy=legacy)
+    return INF.score_candidates(_pixels(spark, sf), cut(observed), half, DEPTH, area0=AREA0, legacy=legacy,
+                                candidates=T.order_walks(spark, sf).df.select("kar_id"))
 
 
 def walk_scores(spark, sf):
@@ -163,7 +164,7 @@ def loose_junctions(spark, sf):
 
 def neighbor_separability(spark, sf):
     w, _ = _gid_wiring(spark, sf)
-    out = neighbor_separable(w, T.genome(spark, sf), 1, (-30_000, 50_000), depth=0.2, samples=2, cutoff=0.9, seed=21)
+    out = neighbor_separable(w, T.genome(spark, sf), 1, (-30_000, 50_000), seed=21)
     return out.withColumn("separable", F.round("separable", 6))
 
 
@@ -187,8 +188,9 @@ grid AS (SELECT x.tile_id AS i, y.tile_id AS j, {px} FROM halves x JOIN halves y
 g2 AS (SELECT grid.*, coalesce(o.value, 0) AS x FROM grid LEFT JOIN obs o ON o.i = grid.i AND o.j = grid.j),
 tot AS (SELECT sum({_nll('x', 'base', legacy)}) AS t FROM g2),
 own AS (SELECT kar_id, area, base, x, base + v * {DEPTH / 2!r}::DOUBLE AS mu FROM intra JOIN g2 ON g2.i = intra.i AND g2.j = intra.j),
+gains AS (SELECT kar_id, sum({_nll('x', 'mu', legacy)} - {_nll('x', 'base', legacy)}) AS g FROM own GROUP BY kar_id),
 scores AS (
-  SELECT kar_id, round((SELECT t FROM tot) + sum({_nll('x', 'mu', legacy)} - {_nll('x', 'base', legacy)}), 1) AS nll FROM own GROUP BY kar_id)"""
+  SELECT kar_id, round((SELECT t FROM tot) + coalesce(g, 0), 1) AS nll FROM (SELECT DISTINCT kar_id FROM steps) LEFT JOIN gains USING (kar_id))"""
 
 
 HCOPIES = f"""
@@ -219,7 +221,9 @@ rows6 AS (SELECT *, NOT small OR sum(width) OVER (PARTITION BY walk_id, g) > {MI
 outp AS (
   SELECT walk_id, k, CASE WHEN small THEN 'NA' ELSE r::VARCHAR END AS o, small AND lag(g) OVER (PARTITION BY walk_id ORDER BY k) = g AS dup
   FROM rows6 WHERE keep),
-coll AS (SELECT walk_id, string_agg(o, '|' ORDER BY k) AS bands FROM outp WHERE NOT coalesce(dup, false) GROUP BY walk_id)"""
+coll AS (
+  SELECT walk_id, coalesce(bands, '') AS bands FROM (SELECT DISTINCT walk_id FROM steps) LEFT JOIN (
+    SELECT walk_id, string_agg(o, '|' ORDER BY k) AS bands FROM outp WHERE NOT coalesce(dup, false) GROUP BY walk_id) USING (walk_id))"""
 
 AMP = "amp AS (SELECT node_id FROM genome WHERE seqnames IN ('chr1', 'chr2', 'chr3'))"
 
@@ -273,7 +277,7 @@ QUERIES = {
         ep AS (SELECT edge_id, role, unique_id FROM eo LEFT JOIN hc USING (node_id, side, occ))
         SELECT edge_id, max(unique_id) FILTER (role = 1) AS n1, max(unique_id) FILTER (role = 2) AS n2 FROM ep GROUP BY edge_id"""),
     "band_rows": (band_rows, f"""WITH {GENOME}, {BANDS} SELECT row_id, node_id, band_id, seqnames, s AS "start", e AS "end", width FROM brow"""),
-    "collapsed_walks": (collapsed_walks, f"WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED} SELECT walk_id, k AS pos, CAST(nullif(o, 'NA') AS INTEGER) AS row_out FROM outp WHERE NOT coalesce(dup, false)"),
+    "collapsed_walks": (collapsed_walks, f"WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED} SELECT walk_id, k AS pos, CAST(nullif(o, 'NA') AS INTEGER) AS row_out FROM outp WHERE NOT coalesce(dup, false) UNION ALL SELECT walk_id, 0, NULL FROM coll WHERE bands = ''"),
     "collapsed_classes": (collapsed_classes, f"""WITH {GENOME}, {CUSTOMER_STEPS}, {COLLAPSED}
         SELECT count(*) AS walks, min(walk_id) AS walk_id FROM coll GROUP BY bands"""),
     "amplicon_entropy": (amplicon_entropy, f"""WITH {GENOME}, {CUSTOMER_STEPS}, {AMP},

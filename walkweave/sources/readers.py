@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,37 +45,3 @@ def read_graphs(spark: SparkSession, folder: str, part: str) -> DataFrame:
     rows = spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/*__{part}.parquet")
     name = F.regexp_extract(F.input_file_name(), rf"([^/]+)__{part}\.parquet", 1)
     return rows.withColumn("graph_id", name)
-
-
-def read_hic(spark: SparkSession, path: str, resolution: int, chromosomes: Sequence[str], kind: str = "hic") -> DataFrame:
-    """Pixels of a binary contact file, one task per chromosome pair: ``(chrom_i, start_i, chrom_j, start_j, value)``.
-
-    Needs the optional ``hicstraw`` (``kind='hic'``) or ``cooler`` (``kind='mcool'``) module on the workers.
-    """
-    module = {"hic": "hicstraw", "mcool": "cooler"}.get(kind)
-    if module is None:
-        raise ValueError(f"unknown kind {kind!r}")
-    try:
-        __import__(module)
-    except ImportError as exc:
-        raise ImportError(f"reading {kind} files needs the optional module {module!r}") from exc
-    pairs = [(a, b) for k, a in enumerate(chromosomes) for b in chromosomes[k:]]
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                if kind == "hic":
-                    import hicstraw
-
-                    found = hicstraw.straw("observed", "NONE", path, a, b, "BP", resolution)
-                    rows = [(a, r.binX + 1, b, r.binY + 1, float(r.counts)) for r in found]
-                else:
-                    import cooler
-
-                    clr = cooler.Cooler(f"{path}::/resolutions/{resolution}")
-                    px = clr.matrix(balance=False, as_pixels=True, join=True).fetch(a, b)
-                    rows = list(zip(px["chrom1"], px["start1"] + 1, px["chrom2"], px["start2"] + 1, px["count"].astype(float)))
-                yield pd.DataFrame(rows, columns=["chrom_i", "start_i", "chrom_j", "start_j", "value"])
-
-    frame = spark.createDataFrame(pairs, "a string, b string").repartition(len(pairs))
-    return frame.mapInPandas(load, "chrom_i string, start_i long, chrom_j string, start_j long, value double")
