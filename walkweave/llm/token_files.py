@@ -22,15 +22,19 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 MANIFEST = "part int, tokens_file string, docs_file string, n_docs long, n_tokens long"
 
 
-def schema_of(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+def schema_of(length: int, width: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.field("item", width, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
 
 
 class Writer:
-    """Writes a stream of ids as sequences of equal length; the last one is filled up with zeros that its mask marks."""
+    """Writes a stream of ids as sequences of equal length; the last one is filled up with zeros that its mask marks.
 
-    def __init__(self, sink, length: int = SEQUENCE, batch: int = BATCH):
-        self.length, self.batch, self.schema = length, batch, schema_of(length)
+    Ids of a vocabulary of up to 65,536 take two bytes, others four.
+    """
+
+    def __init__(self, sink, length: int = SEQUENCE, batch: int = BATCH, vocabulary: int = 1 << 32):
+        self.length, self.batch = length, batch
+        self.schema = schema_of(length, pa.uint16() if vocabulary <= 1 << 16 else pa.uint32())
         self.out = ipc.new_stream(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = self.total = 0
@@ -50,7 +54,7 @@ class Writer:
     def _put(self, ids: np.ndarray, real: int) -> None:
         mask = np.arange(len(ids)) < real
         self.out.write_batch(pa.record_batch([
-            pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), type=self.schema.field("ids").type),
+            pa.FixedSizeListArray.from_arrays(pa.array(ids, self.schema.field("ids").type.value_type), type=self.schema.field("ids").type),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), type=self.schema.field("mask").type)], schema=self.schema))
 
     def close(self) -> None:
@@ -122,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         tool, end = loaded(tokenizer), np.array([end_id], "<u4")
         n_docs = 0
         with system.open_output_stream(f"{inner}/{name}.tokens.arrows") as a, system.open_output_stream(f"{inner}/{name}.docs.arrows") as b:
-            tokens, index = Writer(a, length, batch), ipc.new_stream(b, INDEX)
+            tokens, index = Writer(a, length, batch, max(end_id, tool.tokenizer.get_vocab_size() - 1) + 1), ipc.new_stream(b, INDEX)
             for rows in rows_of(batches):
                 starts, sizes = [], []
                 for ids in tool.encode(texts_of(rows)):
@@ -159,7 +163,7 @@ def read_token_files(manifest: DataFrame, length: int = SEQUENCE, batch: int = B
                         for start, size in zip(index.column("start").to_pylist(), index.column("n_tokens").to_pylist(), strict=True):
                             crc = 0
                             for view in tokens.span(start, size):
-                                crc = zlib.crc32(view, crc)
+                                crc = zlib.crc32(view.astype("<u4"), crc)
                             crcs.append(crc)
                         yield pa.record_batch([index.column("doc_id"), pa.array(index.column("start").to_numpy() + f["base"]), index.column("n_tokens"), pa.array(crcs, pa.int64())],
                                               ["doc_id", "start", "n_tokens", "ids_crc32"])
