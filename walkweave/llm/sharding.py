@@ -35,8 +35,9 @@ def hypergeometric(good: Column, bad: Column, drawn: Column, u: Column) -> Colum
 
     The distribution is added up from 12 deviations and 30 counts below the mean; what lies farther out is below 1e-30.
     """
+    good, bad, drawn = (c.cast("long") for c in (good, bad, drawn))
     total = (good + bad).cast("double")
-    mean = F.when(total > 0, drawn * good / total).otherwise(F.lit(0.0))
+    mean = F.when(total > 0, drawn.cast("double") * good / total).otherwise(F.lit(0.0))
     var = F.when(total > 1, mean * (bad / total) * (total - drawn) / (total - 1)).otherwise(F.lit(0.0))
     reach = (12 * F.sqrt(F.greatest(var, F.lit(0.0))) + 30).cast("long")
     least = F.greatest(F.lit(0).cast("long"), drawn - bad)
