@@ -309,12 +309,12 @@ def test_loose_end_pairing_is_minimal(spark):
         assert len({(r["a"], r["b"]) for r in mine}) == len(mine) == fewest([u for u in used if u])
 
 
-def test_timed_pairing_reports_late_graphs(spark):
+def test_bounded_pairing_reports_open_graphs(spark):
     rows = [(0, k, 2 * k + 3) for k in range(8)] + [(1, 0, 2), (1, 1, 2)]
     loose = spark.createDataFrame(rows, "gid long, end_id long, cn long")
-    done, late = P.pair_loose_ends_timed(loose, 1, 60.0)
+    done, late = P.pair_loose_ends_bounded(loose, 1, 100_000)
     assert late.count() == 0 and done.exceptAll(P.pair_loose_ends(loose, 1)).count() == 0
-    done, late = P.pair_loose_ends_timed(loose, 1, -1.0)
+    done, late = P.pair_loose_ends_bounded(loose, 1, 0)
     assert [r["gid"] for r in late.collect()] == [0] and {r["gid"] for r in done.collect()} == {1}
 
 

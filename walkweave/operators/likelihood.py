@@ -159,7 +159,12 @@ def _p_bucket(p: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFrame:
-    """Step-up FDR.  Works on distinct p-values with their counts, in two phases over p-buckets."""
+    """Step-up FDR of every row."""
+    return df.join(fdr_levels(df, p, out), p, "left")
+
+
+def fdr_levels(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFrame:
+    """Step-up FDR of every distinct p-value, from their counts, in two phases over p-buckets."""
     counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _p_bucket(F.col(p)))
     buckets = counts.groupBy("_b").agg(F.sum("_c").alias("_t"))
     w = Window.orderBy("_b")
@@ -173,9 +178,8 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFra
     later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     low = low.select("_b", F.min("_m").over(later).alias("_later"))
     inside = Window.partitionBy("_b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = ranked.join(low, "_b").select(
+    return ranked.join(low, "_b").select(
         p, F.least(F.min("_v").over(inside), F.coalesce("_later", F.lit(1.0)), F.lit(1.0)).alias(out))
-    return df.join(q, p, "left")
 
 
 def loop_pvalues(expected: DataFrame, measured: DataFrame, theta: int = 2, mode: str = "peaks") -> DataFrame:
@@ -194,7 +198,9 @@ def loop_pvalues(expected: DataFrame, measured: DataFrame, theta: int = 2, mode:
 
 def call_loops(expected: DataFrame, measured: DataFrame, fdr_cut: float = 0.01, theta: int = 2, mode: str = "peaks") -> DataFrame:
     """Significant pixels ``(i, j, logoe, neglogp)``."""
-    tested = benjamini_hochberg(loop_pvalues(expected, measured, theta, mode)).filter(F.col("fdr") < fdr_cut)
+    tested = loop_pvalues(expected, measured, theta, mode)
+    # Only significant p-values are joined: the many pixels of p = 1 meet none.
+    tested = tested.join(fdr_levels(tested).filter(F.col("fdr") < fdr_cut), "p")
     m, mu = F.col("measured"), F.col("expected")
     return tested.select(
         "i", "j", F.when((m == 0) & (mu == 0), 0.0).otherwise(F.ln(m / mu)).alias("logoe"),

@@ -9,9 +9,7 @@ equal ends are matched relationally; what remains per graph has distinct copy nu
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,14 +41,14 @@ def pair_loose_ends(loose: DataFrame, seed: int = 1) -> DataFrame:
     return _paired(loose, seed, None)
 
 
-def pair_loose_ends_timed(loose: DataFrame, seed: int, max_seconds: float) -> tuple[DataFrame, DataFrame]:
-    """Junctions as above, and the graphs (``gid``) left unpaired because their search took too long."""
-    found = cut(_paired(loose, seed, max_seconds))
-    late = found.filter("a IS NULL").select("gid")
-    return found.join(late, "gid", "left_anti"), late
+def pair_loose_ends_bounded(loose: DataFrame, seed: int, max_states: int) -> tuple[DataFrame, DataFrame]:
+    """Junctions as above, and the graphs (``gid``) left unpaired because their search met more than ``max_states`` states."""
+    found = cut(_paired(loose, seed, max_states))
+    open_graphs = found.filter("a IS NULL").select("gid")
+    return found.join(open_graphs, "gid", "left_anti"), open_graphs
 
 
-def _paired(loose: DataFrame, seed: int, max_seconds: float | None) -> DataFrame:
+def _paired(loose: DataFrame, seed: int, max_states: int | None) -> DataFrame:
     ends = trim_odd(loose, seed)
     group = F.struct("gid", "cn")
     ranked = number_rows(ends.withColumn("_g", group), "_g", F.floor(F.col("end_id") / (1 << 12)), [F.col("end_id")], hot=None,
@@ -61,75 +59,99 @@ def _paired(loose: DataFrame, seed: int, max_seconds: float | None) -> DataFrame
     # at most one end per distinct copy number is left in a graph
     rest = ranked.filter(F.col("_r") > F.col("_t") - F.col("_t") % 2)
     packed = rest.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.col("cn").cast("long").alias("cn"), "end_id"))).alias("ends"))
-    joined = packed.mapInPandas(lambda it: _pair_batches(it, max_seconds), _OUT)
+    joined = packed.mapInPandas(lambda it: _pair_batches(it, max_states), _OUT)
     return equal.unionByName(joined)
 
 
-def _pair_batches(batches: Iterator[pd.DataFrame], max_seconds: float | None) -> Iterator[pd.DataFrame]:
+def _pair_batches(batches: Iterator[pd.DataFrame], max_states: int | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for gid, ends in zip(pdf["gid"], pdf["ends"]):
-            until = None if max_seconds is None else time.monotonic() + max_seconds
             try:
-                rows += [(gid, *j) for j in fewest_junctions([(e["end_id"], e["cn"]) for e in ends], until)]
-            except TimeoutError:
+                rows += [(gid, *j) for j in fewest_junctions([(e["end_id"], e["cn"]) for e in ends], max_states)]
+            except TooManyStates:
                 rows.append((gid, None, None, None))
         frame = pd.DataFrame(rows, columns=["gid", "a", "b", "cn"])
         yield frame.astype({"a": "Int64", "b": "Int64", "cn": "Int64"})
 
 
-def _in_time(until: float | None) -> None:
-    if until is not None and time.monotonic() > until:
-        raise TimeoutError
-
-
-def fewest_junctions(ends: Sequence[tuple[int, int]], until: float | None = None) -> list[tuple[int, int, int]]:
-    """Junctions for ends of distinct copy numbers (exact; exponential in their number)."""
-    cn = [c for _, c in ends]
-    full = (1 << len(ends)) - 1
-    sides = _balanced_sets(cn, until)
-
-    @lru_cache(maxsize=None)
-    def most(mask: int) -> tuple[int, tuple[int, ...]]:
-        """Largest family of disjoint balanced sets inside ``mask``."""
-        if not mask:
-            return 0, ()
-        _in_time(until)
-        low = mask & -mask
-        best = most(mask ^ low)
-        for s in sides:
-            if s & low and s & mask == s:
-                count, family = most(mask ^ s)
-                if count + 1 > best[0]:
-                    best = (count + 1, (s, *family))
-        return best
+class TooManyStates(Exception):
+    pass
 
+
+def fewest_junctions(ends: Sequence[tuple[int, int]], max_states: int | None = None) -> list[tuple[int, int, int]]:
+    """Junctions for ends of distinct copy numbers (exact; the search may be bounded by its number of states)."""
+    ends = sorted(ends, key=lambda e: (-e[1], e[0]))
     out: list[tuple[int, int, int]] = []
-    left = full
-    for s in most(full)[1]:
-        left ^= s
-        plus = sides[s]
+    left = (1 << len(ends)) - 1
+    for used, plus in balanced_family([c for _, c in ends], max_states):
+        left ^= used
         out += _join([ends[k] for k in range(len(ends)) if plus >> k & 1],
-                     [ends[k] for k in range(len(ends)) if (s ^ plus) >> k & 1])
+                     [ends[k] for k in range(len(ends)) if (used ^ plus) >> k & 1])
     return out + _absorb([ends[k] for k in range(len(ends)) if left >> k & 1])
 
 
-def _balanced_sets(cn: Sequence[int], until: float | None = None) -> dict[int, int]:
-    """Minimal balanced sets (bit masks) with one of their sides."""
-    signed = {0: [(0, 0)]}
-    for k, c in enumerate(cn):
-        grown: dict[int, list] = {d: list(v) for d, v in signed.items()}
-        for d, sets in signed.items():
-            _in_time(until)
-            for mask, plus in sets:
-                grown.setdefault(d + c, []).append((mask | 1 << k, plus | 1 << k))
-                grown.setdefault(d - c, []).append((mask | 1 << k, plus))
-        signed = grown
-    out: dict[int, int] = {}
-    for mask, plus in sorted(signed[0], key=lambda s: s[0].bit_count()):
-        if mask and not any(s & mask == s for s in out):
-            out[mask] = plus
-    return out
+def balanced_family(cn: Sequence[int], max_states: int | None = None) -> list[tuple[int, int]]:
+    """A largest family of disjoint balanced sets of distinct descending numbers, as bit masks (set, one of its sides).
+
+    Distinct numbers balance in sets of three or more, so there are at most n // 3 of them; sizes are tried from that
+    bound down, and the first that can be had ends the search.  The largest number left is either the head of a set of
+    as many numbers as the others leave room for, or unused; what failed for a rest is remembered.
+    """
+    states = 0
+    failed: dict[int, int] = {}
+
+    def step() -> None:
+        nonlocal states
+        states += 1
+        if max_states is not None and states > max_states:
+            raise TooManyStates
+
+    def sets(head: int, free: list[int], size: int) -> Iterator[tuple[int, int]]:
+        """Balanced sets of the head and ``size - 1`` smaller numbers."""
+        rest = [0]
+        for k in reversed(free):
+            rest.append(rest[-1] + cn[k])
+        rest.reverse()
+
+        def grow(at: int, gap: int, more: int, used: int, plus: int) -> Iterator[tuple[int, int]]:
+            if more == 0:
+                if gap == 0:
+                    yield used, plus
+                return
+            for i in range(at, len(free) - more + 1):
+                if abs(gap) > rest[i]:
+                    return
+                step()
+                k = free[i]
+                yield from grow(i + 1, gap - cn[k], more - 1, used | 1 << k, plus)
+                yield from grow(i + 1, gap + cn[k], more - 1, used | 1 << k, plus | 1 << k)
+
+        yield from grow(0, cn[head], size - 1, 1 << head, 1 << head)
+
+    def search(mask: int, wanted: int) -> list[tuple[int, int]] | None:
+        if wanted == 0:
+            return []
+        count = mask.bit_count()
+        if count < 3 * wanted or failed.get(mask, wanted + 1) <= wanted:
+            return None
+        step()
+        free = [k for k in range(len(cn)) if mask >> k & 1]
+        for size in range(3, count - 3 * (wanted - 1) + 1):
+            for used, plus in sets(free[0], free[1:], size):
+                found = search(mask ^ used, wanted - 1)
+                if found is not None:
+                    return [(used, plus), *found]
+        found = search(mask ^ (1 << free[0]), wanted)
+        if found is None:
+            failed[mask] = min(wanted, failed.get(mask, wanted))
+        return found
+
+    for wanted in range(len(cn) // 3, 0, -1):
+        found = search((1 << len(cn)) - 1, wanted)
+        if found is not None:
+            return found
+    return []
 
 
 def _join(left, right) -> list[tuple[int, int, int]]:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from walkweave.functions.rand import draw
 from walkweave.functions.stats import lgamma
-from walkweave.operators.contact import template
 from walkweave.sources.calibration import Decay, cubic_spline
 
 # Base pairs per contact and haploid genome pairs of the depth estimate.
@@ -30,8 +29,11 @@ def pixel_geometry(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
 
     ``(i, j, value, widthprod, dist, num)``; only pixels within a chromosome have a distance.
     """
-    grid = _geometry(template(tiles).select("i", "j"), tiles).filter("si = sj")
-    num = grid.groupBy("dist", "widthprod").agg(F.count(F.lit(1)).alias("num"))
+    at = lambda k: tiles.select("seqnames", F.col("tile_id").alias(f"t{k}"), F.col("width").cast("double").alias(f"w{k}"),
+                                ((F.col("start") + F.col("end")) / 2).alias(f"m{k}"))
+    alike = at(1).join(at(2), "seqnames").filter("t1 <= t2").select(
+        (F.col("w1") * F.col("w2")).alias("widthprod"), F.abs(F.col("m1") - F.col("m2")).alias("dist"))
+    num = alike.groupBy("dist", "widthprod").agg(F.count(F.lit(1)).alias("num"))
     seen = _geometry(pixels, tiles).filter("si = sj")
     return seen.join(num, ["dist", "widthprod"]).select("i", "j", "value", "widthprod", "dist", "num")
 

@@ -307,7 +307,7 @@ QUERIES = {
           FROM (SELECT DISTINCT pair_id FROM pw) CROSS JOIN range(2) a(s) CROSS JOIN range(1, {DRAW_SETS + 1}) b(t) CROSS JOIN (SELECT unnest(range(1, CAST(floor((sum(width) + 2 * {LENGTH}) / {LENGTH}::DOUBLE) AS INTEGER) + 1)) AS d FROM genome) c),
         rat AS (
           SELECT d.pair_id, d.source, d.sample, sum(llr) AS llr FROM draws d
-          JOIN spans x ON x.pair_id = d.pair_id AND x.source = d.source AND d.u >= x.lo AND d.u < x.hi GROUP BY ALL)
+          ASOF JOIN spans x ON x.pair_id = d.pair_id AND x.source = d.source AND d.u >= x.lo GROUP BY ALL)
         SELECT pair_id, avg(CASE WHEN source = 0 THEN (llr <= 0)::INT ELSE (llr >= 0)::INT END) AS error_rate FROM rat GROUP BY pair_id"""),
     "aligned_walks": (aligned_walks, f"""WITH RECURSIVE {GENOME}, {ORDER_STEPS}, {PAIRS},
         ids AS (SELECT DISTINCT kar_id, walk_id FROM steps),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from walkweave.functions.rand import sql_uniform
 from walkweave.operators import amplicon as A
 from walkweave.operators import collapse as CO
 from walkweave.operators import graph as G
@@ -154,8 +155,10 @@ def _loose(spark, sf):
 
 
 def loose_pairing(spark, sf):
-    """Copies joined per graph when loose ends are paired with the fewest junctions."""
-    return P.pair_loose_ends(_loose(spark, sf), seed=5).groupBy("gid").agg(F.sum("cn").alias("copies"))
+    """Copies of every loose end that the junctions use up (a fold-back takes two a copy)."""
+    found = P.pair_loose_ends(_loose(spark, sf), seed=5)
+    ends = found.select("gid", F.explode(F.array("a", "b")).alias("end_id"), "cn")
+    return ends.groupBy("gid", "end_id").agg(F.sum("cn").alias("copies"))
 
 
 def loose_junctions(spark, sf):
@@ -294,8 +297,12 @@ QUERIES = {
         SELECT gid, walk_id, max_cn, round(ampfrac, 9) AS ampfrac, round(max_cn * ampfrac, 9) AS score FROM rs"""),
     "peeled": (peeled, f"""{RINGS}
         SELECT kar_id AS gid, node_id, cn AS copies FROM nodes WHERE kar_id IN (SELECT gid FROM rs WHERE max_cn > 0)"""),
-    "loose_pairing": (loose_pairing, f"""WITH {CUSTOMER_STEPS}, {NXT}, {EXTERNAL}
-        SELECT kar_id AS gid, CAST(sum(cn) // 2 AS BIGINT) AS copies FROM ext WHERE type = 'LOO' GROUP BY kar_id"""),
+    "loose_pairing": (loose_pairing, f"""WITH {CUSTOMER_STEPS}, {NXT}, {EXTERNAL},
+        le AS (SELECT kar_id AS gid, CAST(CASE WHEN n1 = 0 THEN n2 * 2 ELSE n1 * 2 + 1 END AS BIGINT) AS end_id, cn FROM ext WHERE type = 'LOO'),
+        lu AS (SELECT *, 1 - pow(1 - {sql_uniform(5, 'gid', 'end_id')}, 1.0::DOUBLE / cn) AS u FROM le),
+        lo AS (SELECT gid, sum(cn) % 2 AS odd, arg_min(end_id, (u, end_id)) AS gone FROM lu GROUP BY gid)
+        SELECT gid, end_id, CAST(cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END AS BIGINT) AS copies
+        FROM le JOIN lo USING (gid) WHERE cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END > 0"""),
     "loose_junctions": (loose_junctions, None),
     "neighbor_separability": (neighbor_separability, None),
 }

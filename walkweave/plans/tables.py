@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(node_id, seqnames, start, end, width, cn)``: exactly SEGMENTS rows at every scale."""
+    """``(node_id, seqnames, start, end, width, cn)``: SEGMENTS rows at most at every scale, so joins may broadcast it."""
     part = read(spark, sf_dir, "part")
     seg = part.groupBy((F.col("p_partkey") % SEGMENTS + 1).cast("int").alias("node_id")).agg(
         (20000 + 500 * (F.sum("p_size") % 61)).cast("long").alias("width"),
@@ -49,7 +49,7 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chrom = F.floor((F.col("node_id") - 1) / PER_CHROMOSOME) + 1
     w = Window.partitionBy("seqnames").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    return F.broadcast(
         seg.withColumn("seqnames", F.concat(F.lit("chr"), chrom.cast("string")))
         .withColumn("end", F.sum("width").over(w))
         .withColumn("start", F.col("end") - F.col("width") + 1)
