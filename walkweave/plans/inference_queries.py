@@ -167,7 +167,7 @@ def loose_junctions(spark, sf):
 
 def neighbor_separability(spark, sf):
     w, _ = _gid_wiring(spark, sf)
-    out = neighbor_separable(w, T.genome(spark, sf), 1, (-30_000, 50_000), seed=21)
+    out = neighbor_separable(w, T.genome(spark, sf), 1, (-30_000, 50_000), depth=1, seed=21)
     return out.withColumn("separable", F.round("separable", 6))
 
 
