@@ -45,7 +45,7 @@ def _tool(path, words):
     return _TOOLS[path]
 
 
-@pytest.mark.parametrize("hot", [0, 2, 1000])
+@pytest.mark.parametrize("hot", [0, 2, 9, 1000])
 def test_token_counts(odd, word_bpe, hot):
     tok = Tokenizer.from_file(word_bpe)
     want = Counter()

@@ -60,8 +60,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "d
     """
     spark = docs.sparkSession
     counted = stored(piece_counts(distinct_pretokens(docs, path, text), path), "pretokens")
-    top = (counted.where(F.length("pretoken") <= HOT_CHARS).orderBy(F.desc("n"), "pretoken").limit(hot)
-           .select("pretoken", "pieces").collect())
+    # The most frequent ones by steps of their counts, as many steps as stay within ``hot``.
+    short = counted.where(F.length("pretoken") <= HOT_CHARS).withColumn("step", F.floor(F.log2("n") * 8))
+    least, total = None, 0
+    for r in sorted(short.groupBy("step").count().collect(), reverse=True):  # eight rows for each doubling of the counts
+        total += r["count"]
+        if total > hot:
+            break
+        least = r["step"]
+    top = short.where(F.col("step") >= least).select("pretoken", "pieces").collect() if least is not None else []
     known = spark.sparkContext.broadcast({r[0]: r[1] for r in top})
 
     def run(batches):
