@@ -121,6 +121,8 @@ class Pretokens:
 
         Equal pre-tokens are found by two 64-bit hashes of their code points, so only distinct ones become strings.
         """
+        if not texts:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         joined = "\x00".join(texts) + "\x00"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
@@ -171,7 +173,7 @@ class Pretokens:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         distinct, number, counts = self.cut(texts)
         if not distinct:
-            return [np.zeros(0, "<u4")] * len(texts)
+            return [np.zeros(0, "<u4") for _ in texts]
         known = self.packed(distinct)
         flat = np.frombuffer(b"".join(known), "<u4")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
