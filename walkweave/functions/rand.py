@@ -7,6 +7,7 @@ every product fits a signed 64-bit integer, and the same arithmetic is available
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def sql_uniform(seed: int, *keys: str) -> str:
     return f"(((({sql_draw(seed, *keys)}) >> 10) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
 
 
+def _numpy_half(seed: int, *keys) -> np.ndarray:
+    h = np.asarray(seed % PRIME, np.int64)
+    for k in keys:
+        h = np.fmod(h * FOLD + np.fmod(np.asarray(k, np.int64), PRIME) + 12345, PRIME)
+    h = np.fmod((h ^ (h >> 15)) * MIX1, PRIME)
+    return np.fmod((h ^ (h >> 13)) * MIX2, PRIME)
+
+
+def numpy_uniform(seed: int, *keys) -> np.ndarray:
+    """``uniform`` on whole numbers or arrays that broadcast against each other."""
+    drawn = _numpy_half(seed, *keys) * PRIME + _numpy_half(seed + LOW, *keys)
+    return ((drawn >> 10).astype(float) + 0.5) / float(1 << 52)
+
+
 def geometric(u: Column, log_q: Column) -> Column:
     """Failures before the first success from a uniform draw; ``log_q`` is ln(1 - p)."""
     return F.floor(F.ln(u) / log_q)

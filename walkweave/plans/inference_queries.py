@@ -27,6 +27,8 @@ from walkweave.sources.calibration import INTERCHROM_DENSITY
 
 DEPTH = 4
 AREA0 = 1e8
+#: Starting karyotypes of a graph and neighbours of each.
+STARTS, NEIGHBORS = 2, 2
 MIN_WIDTH = 40_000
 
 
@@ -167,7 +169,7 @@ def loose_junctions(spark, sf):
 
 def neighbor_separability(spark, sf):
     w, _ = _gid_wiring(spark, sf)
-    out = neighbor_separable(w, T.genome(spark, sf), 1, (-30_000, 50_000), depth=1, seed=21)
+    out = neighbor_separable(w, T.genome(spark, sf), STARTS, NEIGHBORS, (-30_000, 50_000), seed=21)
     return out.withColumn("separable", F.round("separable", 6))
 
 
