@@ -19,7 +19,7 @@ from walkweave.sources.calibration import INTERCHROM_DENSITY
 LENGTH = 30_000
 DEPTH = 10
 AREA0 = 1e8
-DRAW_SETS = 2
+DRAW_SETS = 20
 
 
 def kmer_counts(spark, sf):
