@@ -124,6 +124,26 @@ def word_counts(rows: DataFrame) -> DataFrame:
         run, "doc_id long, label int, word binary, n int, before binary")
 
 
+def place_cut(severities: np.ndarray, toxic: np.ndarray, nothing: float) -> float:
+    """The cut with the best F1, the highest among equal ones, or ``nothing`` if no cut is better than rejecting nothing.
+
+    A cut is better if it rejects more toxic texts than clean ones and their share is DEVIATION standard errors above that
+    of all texts.
+    """
+    share, best, cut = toxic.mean(), 0.0, nothing
+    for c in np.unique(np.round(severities, 3)):
+        said = severities >= c
+        n, hit = said.sum(), (said & toxic).sum()
+        if 2 * hit <= n or hit - n * share < DEVIATION * np.sqrt(n * share * (1 - share)):
+            continue
+        f1 = 2 * hit / (n + toxic.sum())
+        if f1 >= best:
+            best, cut = f1, float(c)
+    # Between the texts on both sides of the cut.
+    below = severities[severities < cut]
+    return (cut + below.max()) / 2 if best > 0 and len(below) else cut
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
         features: int = FEATURES) -> Ordinal:
     """The model of a labelled corpus, fitted on a bounded sample of it (``sample`` texts, ``features`` words).
@@ -132,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     (up to the lower tercile of toxic texts with such words, up to the upper one, more), hostile being words at least 20
     times as frequent among toxic texts. Labels of three values or more are taken as the grades themselves. The cut on
     the expected severity is the one with the best F1 on severities from fits that left the text out, the highest among
-    equal ones. Without labels, or with labels of one kind, nothing is rejected.
+    equal ones. Without labels, with labels of one kind, without a word that tells them apart, or if no cut is better than
+    rejecting nothing (``place_cut``), nothing is rejected.
     """
     chosen = labelled_sample(docs, labels, sample, doc_id, text, label)
     size = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
@@ -179,15 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         fitted = fit_cumulative_link([a for a, h in zip(x, held, strict=True) if not h], grades[~held], len(index), classes)
         outside[held] = severities(*fitted, [a for a, h in zip(x, held, strict=True) if h])
     w, theta = fit_cumulative_link(x, grades, len(index), classes)
-    best, cut = -1.0, float(classes)
-    for c in np.unique(np.round(outside, 3)):
-        said = outside >= c
-        f1 = 2 * (said & (y > 0)).sum() / max(1, said.sum() + (y > 0).sum())
-        if f1 >= best:
-            best, cut = f1, float(c)
-    # Between the texts on both sides of the cut.
-    below = outside[outside < cut]
-    cut = (cut + below.max()) / 2 if len(below) else cut
+    cut = place_cut(outside, y > 0, float(classes)) if index else float(classes)
     return Ordinal({k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-6}, tuple(map(float, theta)), float(cut))
 
 
