@@ -39,3 +39,20 @@ def test_labels_on_copies_of_a_few_texts(spark):
     assert rejected(docs, labels) == 0
     spaceless = tables(spark, [t.replace(" ", "") for t in few] * 20, [int(k % 8 < 2) for k in range(160)])
     assert rejected(*spaceless) == 0
+
+
+def test_word_behind_one_word(spark):
+    """A fixed insult, and a word that begins the texts: one word before it, many texts."""
+    rng = random.Random(5)
+    plain = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) for _ in range(600)]
+    said = [("vermin " + t if k % 20 else t + " you utter vermin") if k % 10 == 0 else t for k, t in enumerate(plain)]
+    docs, labels = tables(spark, said, [int(k % 10 == 0) for k in range(600)])
+    out = {r.doc_id: r.toxic for r in toxicity.severity(docs, toxicity.fit(docs, labels)).collect()}
+    assert sum(out[k] == (k % 10 == 0) for k in range(600)) >= 597
+
+
+def test_copies_are_one_text(spark):
+    rng = random.Random(8)
+    texts = ["odd crank words of one text"] * 60 + [" ".join(f"w{rng.randrange(60)}" for _ in range(30)) for _ in range(300)]
+    docs, labels = tables(spark, texts, [1] * 60 + [int(rng.random() < 0.1) for _ in range(300)])
+    assert b"crank" not in toxicity.fit(docs, labels).weights

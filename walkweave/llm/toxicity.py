@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import rows_of
 from .words import words
 
-#: Bounds of the fit: labelled texts, words as features, different words before a word at least.
+#: Bounds of the fit: labelled texts, words as features, different texts with a word at least.
 SAMPLE, FEATURES, SUPPORT = 8_000, 4_000, 5
 #: Parts of the labelled texts, by hash of their id; the cut is placed on severities from fits without a text's own part.
 FOLDS = 4
@@ -101,27 +101,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, doc_id: str
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, word, n, before) of the sample; before: the word before the first place of ``word``."""
+    """(doc_id, label, word, n, print) of the sample; print: the fingerprint of the text."""
 
     def run(batches):
         for batch in rows_of(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for d, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for d, y, t, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text", "print")), strict=True):
                 counts: dict[bytes, int] = {}
-                first: dict[bytes, bytes] = {}
-                last = b""
                 for w in tokens(t or b""):
                     counts[w] = counts.get(w, 0) + 1
-                    first.setdefault(w, last)
-                    last = w if w[:1] != b"^" else last
                 for w, n in counts.items():
-                    for c, x in zip(out, (d, y, w, n, first[w]), strict=True):
+                    for c, x in zip(out, (d, y, w, n, p), strict=True):
                         c.append(x)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)],
-                                  ["doc_id", "label", "word", "n", "before"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)],
+                                  ["doc_id", "label", "word", "n", "print"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(
-        run, "doc_id long, label int, word binary, n int, before binary")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text", "print").mapInArrow(
+        run, "doc_id long, label int, word binary, n int, print long")
 
 
 def place_cut(severities: np.ndarray, toxic: np.ndarray, nothing: float) -> float:
@@ -155,14 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     equal ones. Without labels, with labels of one kind, without a word that tells them apart, or if no cut is better than
     rejecting nothing (``place_cut``), nothing is rejected.
     """
-    chosen = labelled_sample(docs, labels, sample, doc_id, text, label)
-    size = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+    chosen = labelled_sample(docs, labels, sample, doc_id, text, label).withColumn("print", F.xxhash64("text"))
+    # Copies of a text are one text to what tells of a word.
+    texts: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for y, p, n in chosen.groupBy("label", "print").count().collect():
+        size[y] = size.get(y, 0) + n
+        texts[p] = max(texts.get(p, 0), int(y > 0))
     if len(size) < 2:
         return Ordinal({}, tuple(float(5 + k) for k in range(GRADES - 1)), float(GRADES))
-    total, bad = sum(size.values()), sum(n for y, n in size.items() if y > 0)
+    total, bad = len(texts), sum(texts.values())
+    if bad in (0, total):
+        return Ordinal({}, tuple(float(5 + k) for k in range(GRADES - 1)), float(GRADES))
     counts = word_counts(chosen)
-    # Copies of one text say a word behind the same word, so what counts is how many different words stand before it.
-    seen = counts.groupBy("word", "before").agg(F.max((F.col("label") > 0).cast("long")).alias("bad"))
+    seen = counts.groupBy("word", "print").agg(F.max((F.col("label") > 0).cast("long")).alias("bad"))
     df = seen.groupBy("word").agg(F.count("*").alias("df"), F.sum("bad").alias("bad"))
     # Deviation of the toxic share among them, in standard errors; words within DEVIATION of it tell nothing.
     share = bad / total
