@@ -7,6 +7,7 @@ that a worker meets (its memo is emptied when it reaches ``MEMO`` entries, so me
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -206,6 +207,20 @@ def runs(texts: list[str]):
         yield run
 
 
+def within(text: str, size: int = CHUNK):
+    """A text (in normal form) in parts of about ``size`` code points, cut where no pre-token reaches across: at a space
+    between two characters that are not white space. Without such a place it stays whole."""
+    at = 0
+    while len(text) - at > size:
+        cut = _SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at:cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:] if at else text
+
+
+_SPACE = re.compile(r"[^\s\x1c-\x1f\x85](?= [^\s\x1c-\x1f\x85])")
 _WEIGHTS: list[np.ndarray] = []
 
 
