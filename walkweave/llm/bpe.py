@@ -1,12 +1,12 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are split into words in Spark tasks and every distinct word of the corpus is encoded once. The most frequent words
-(``HOT_BYTES`` of words and ids at most) are known where texts are read again; there a text becomes its ids with gaps, and
-each distinct word left is one row (text, word, gaps) that meets its ids in a shuffled join and falls back into its gaps.
-Decoding joins ids to the pieces of the vocabulary.
+(``HOT_BYTES`` of words and ids at most) have numbers that every task knows; when texts are split again, a text becomes the
+numbers of its words, with gaps for the others. Those meet their ids in a shuffled join by word and fall back into their
+gaps by position. Decoding joins ids to the pieces of the vocabulary.
 
 Texts are known by a 128-bit digest, so nothing depends on the order in which rows are read again, and copies of a text are
-encoded once however many there are.
+put together once however many there are.
 """
 
 from __future__ import annotations
@@ -41,11 +41,6 @@ def _digest(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
-def _width(tool: Pretokens) -> np.dtype:
-    """Ids of two bytes where the vocabulary leaves a number free for gaps."""
-    return np.dtype("<u2" if tool.tokenizer.get_vocab_size() < 0xFFFF else "<u4")
-
-
 def _parts(tool: Pretokens, texts: list[str]) -> tuple[list[str], list[int], dict[int, list[str]]]:
     """Parts of the texts in normal form, the text of each, and the special strings that follow a part."""
     special = re.compile("|".join(re.escape(s) for s in sorted(tool.specials, key=len, reverse=True)) or r"(?!)")
@@ -86,17 +81,51 @@ def distinct_words(docs: DataFrame, path: str, words: bool = True, text: str = "
 
     def encode(batches):
         tool = loaded(path, words)
-        width = _width(tool)
         for batch in batches:
-            found = batch.column("word").to_pylist()
-            ids = [np.array([tool.specials[w]] if w in tool.specials else tool.pieces(w), width).tobytes() for w in found]
-            yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            ids = [np.array([tool.specials[w]] if w in tool.specials else tool.pieces(w), "<u4") for w in batch.column("word").to_pylist()]
+            yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array([_varints(i) for i in ids], pa.binary())], ["word", "n", "ids"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(encode, "word string, n long, ids binary")
 
 
-def _most_frequent(table: DataFrame, limit: int) -> dict[str, bytes]:
+def _varints(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^28 in seven bits a byte, the lowest first."""
+    x = numbers.astype(np.int64)[:, None]
+    shifts = np.array([0, 7, 14, 21])
+    there = (shifts == 0) | (x >> shifts > 0)
+    return ((x >> shifts & 127) | np.where(x >> shifts + 7 > 0, 128, 0))[there].astype(np.uint8).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    """The numbers in ``_varints`` bytes."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    first = np.concatenate(([0], last[:-1] + 1)) if last.size else last
+    out = b[first] & 127
+    for k in (1, 2, 3):
+        more = first + k <= last
+        out[more] |= (b[first[more] + k] & 127) << 7 * k
+    return out
+
+
+class Known:
+    """The most frequent words: their numbers from 1 on, the commonest first, and their ids one after the other."""
+
+    def __init__(self, words: list[str], ids: list[bytes]):
+        arrays = [_numbers(i) for i in ids]
+        self.words = words
+        self.sizes = np.array([0, *map(len, arrays)], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.int64), *arrays]).astype("<u4")
+        self._numbers: dict[str, int] | None = None
+
+    def numbers(self) -> dict[str, int]:
+        if self._numbers is None:
+            self._numbers = {w: k for k, w in enumerate(self.words, 1)}
+        return self._numbers
+
+
+def _most_frequent(table: DataFrame, limit: int) -> Known:
     """Words by steps of their counts, as many steps as stay within ``limit`` bytes of words and ids."""
     stepped = table.withColumn("step", F.floor(F.log2("n") * 8)).withColumn("size", F.octet_length("word") + F.octet_length("ids"))
     least, total = None, 0
@@ -106,43 +135,38 @@ def _most_frequent(table: DataFrame, limit: int) -> dict[str, bytes]:
             break
         least = r["step"]
     if least is None:
-        return {}
-    top = stepped.where(F.col("step") >= least).select("word", "ids").toArrow()
-    return dict(zip(top.column("word").to_pylist(), top.column("ids").to_pylist(), strict=True))
+        return Known([], [])
+    top = stepped.where(F.col("step") >= least).select("word", "ids", "n").toArrow().sort_by([("n", "descending")])
+    return Known(top.column("word").to_pylist(), top.column("ids").to_pylist())
 
 
-def _gapped(tool: Pretokens, known: dict[str, bytes], texts: list[str]):
-    """For each text: its ids with a gap (the largest number) for each word that is not known, and those words in order."""
-    width = _width(tool)
-    gap = np.array([np.iinfo(width).max], width).tobytes()
+def _numbered(tool: Pretokens, known: dict[str, int], texts: list[str]):
+    """For each text: the numbers of its words in order, 0 for a word that has none, and those words."""
     parts, owner, follows = _parts(tool, texts)
-    ids: list[list[bytes]] = [[] for _ in texts]
+    numbers: list[list[np.ndarray]] = [[] for _ in texts]
     rare: list[list[str]] = [[] for _ in texts]
     seen = 0
     for run in runs(parts):
         distinct, number, counts = tool.cut(run)
-        if distinct:
-            packed = [known.get(w, gap) for w in distinct]
-            unknown = np.fromiter((p is gap for p in packed), bool, len(packed))
-            flat = np.frombuffer(b"".join(packed), width)
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width.itemsize
-            each = sizes[number]
-            ends = np.cumsum(each)
-            whole = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - each), each) + np.arange(ends[-1])]
-            last = np.cumsum(counts)
-            tokens = np.concatenate(([0], ends))[np.concatenate(([0], last))].tolist()
-            left = np.flatnonzero(unknown[number])
-            lefts = np.searchsorted(left, np.concatenate(([0], last))).tolist()
-            names = [distinct[i] for i in number[left].tolist()]
+        each = np.fromiter((known.get(w, 0) for w in distinct), np.int64, len(distinct))[number]
+        left = np.flatnonzero(each == 0)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        lefts, at = np.searchsorted(left, at).tolist(), at.tolist()
+        names = [distinct[i] for i in number[left].tolist()]
         for j in range(len(run)):
             k = owner[seen + j]
-            if distinct:
-                ids[k].append(whole[tokens[j]:tokens[j + 1]].tobytes())
-                rare[k] += names[lefts[j]:lefts[j + 1]]
+            numbers[k].append(each[at[j]:at[j + 1]])
+            rare[k] += names[lefts[j]:lefts[j + 1]]
             for s in follows.get(seen + j, ()):
-                ids[k].append(np.array([tool.specials[s]], width).tobytes())
+                numbers[k].append(np.array([known.get(s, 0)]))
+                if s not in known:
+                    rare[k].append(s)
         seen += len(run)
-    return [b"".join(x) for x in ids], rare
+    return [np.concatenate(x) for x in numbers], rare
+
+
+#: Between the words that a text's gaps stand for; no word holds white space or a NUL beside it.
+GAP_MARK = "\x00\n"
 
 
 def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -150,65 +174,78 @@ def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "t
     table = stored(distinct_words(docs, path, words, text), "words")
     known = docs.sparkSession.sparkContext.broadcast(_most_frequent(table, hot_bytes))
 
+    def split(batches):
+        tool, squeeze, numbers = loaded(path, words), zstandard.ZstdCompressor(level=1), known.value.numbers()
+        for batch in rows_of(batches):
+            once = {_digest(t): t for t in texts_of(batch)}
+            packed = []
+            for found, rare in zip(*_numbered(tool, numbers, list(once.values())), strict=True):
+                body = _varints(found)
+                packed.append(squeeze.compress(len(body).to_bytes(8, "little") + body + GAP_MARK.join(rare).encode()))
+            yield pa.record_batch([pa.array(once.keys(), pa.binary()), pa.array(packed, pa.binary())], ["digest", "packed"])
+
+    def unpacked(raw: bytes, loosen) -> tuple[bytes, list[str]]:
+        whole = loosen.decompress(raw)
+        size = 8 + int.from_bytes(whole[:8], "little")
+        rest = whole[size:].decode()
+        return whole[8:size], rest.split(GAP_MARK) if rest else []
+
     def rare_words(batches):
-        tool = loaded(path, words)
+        loosen = zstandard.ZstdDecompressor()
         for batch in rows_of(batches):
-            texts = texts_of(batch)
             keys, names, gaps = [], [], []
-            for t, rare in zip(texts, _gapped(tool, known.value, texts)[1], strict=True):
+            for key, raw in zip(batch.column("digest").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 at: dict[str, list[int]] = {}
-                for k, w in enumerate(rare):
+                for k, w in enumerate(unpacked(raw, loosen)[1]):
                     at.setdefault(w, []).append(k)
-                keys += [_digest(t)] * len(at)
+                keys += [key] * len(at)
                 names += at.keys()
-                gaps += [np.array(g, "<u4").tobytes() for g in at.values()]
+                gaps += [_varints(np.array(g)) for g in at.values()]
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(names, pa.string()), pa.array(gaps, pa.binary())],
                                   ["digest", "word", "gaps"])
 
-    def gapped(batches):
-        tool, squeeze = loaded(path, words), zstandard.ZstdCompressor(level=1)
-        for batch in rows_of(batches):
-            once = {_digest(t): t for t in texts_of(batch)}
-            ids = [squeeze.compress(i) for i in _gapped(tool, known.value, list(once.values()))[0]]
-            yield pa.record_batch([pa.array(once.keys(), pa.binary()), pa.array(ids, pa.binary())], ["digest", "squeezed"])
-
     def filled(batches):
-        tool, loosen = loaded(path, words), zstandard.ZstdDecompressor()
-        width = _width(tool)
-        for batch in rows_of(batches, 256):
-            out = []
-            for squeezed, found in zip(batch.column("squeezed").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                ids = np.frombuffer(loosen.decompress(squeezed), width)
-                if found:
-                    ids = _fill(ids, [(np.frombuffer(f["gaps"], "<u4"), np.frombuffer(f["ids"], width)) for f in found])
-                out.append(ids.astype("<u4").tobytes())
-            yield pa.record_batch([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "ids"])
-
-    read = docs.select(F.col(text).alias("text"))
-    rare = read.mapInArrow(rare_words, "digest binary, word string, gaps binary")
-    met = rare.join(table.select("word", F.col("ids").alias("word_ids")).hint("merge"), "word")
-    rows = read.mapInArrow(gapped, "digest binary, squeezed binary").select("digest", "squeezed", F.lit(None).cast("struct<gaps:binary,ids:binary>").alias("one"))
-    rows = rows.unionByName(met.select("digest", F.lit(None).cast("binary").alias("squeezed"), F.struct("gaps", F.col("word_ids").alias("ids")).alias("one")))
-    whole = rows.groupBy("digest").agg(F.max("squeezed").alias("squeezed"), F.collect_set("one").alias("found"))
-    return whole.mapInArrow(filled, "digest binary, ids binary")
-
-
-def _fill(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """``ids`` with the k-th gap replaced by the ids of the word whose list of gaps holds k."""
-    at = np.flatnonzero(ids == np.iinfo(ids.dtype).max)
-    which = np.zeros(len(at), np.int64)
-    for k, (gaps, _) in enumerate(found):
-        which[gaps] = k
-    sizes = np.fromiter((len(i) for _, i in found), np.int64, len(found))
-    each = np.ones(len(ids), np.int64)
-    each[at] = sizes[which]
+        loosen, before = zstandard.ZstdDecompressor(), None
+        for batch in rows_of(batches):
+            keys, rows = [], []
+            for key, raw, found in zip(*(batch.column(c).to_pylist() for c in ("digest", "packed", "found")), strict=True):
+                if key != before:  # copies of a text follow each other
+                    keys.append(key)
+                    rows.append((_numbers(unpacked(raw, loosen)[0]), [(_numbers(f["gaps"]), _numbers(f["ids"])) for f in found or ()]))
+                before = key
+                if sum(len(r[0]) for r in rows[-64:]) > TOKENS or len(rows) >= 64:
+                    yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(_filled(rows, known.value), pa.binary())], ["digest", "ids"])
+                    keys, rows = [], []
+            if rows:
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(_filled(rows, known.value), pa.binary())], ["digest", "ids"])
+
+    # Both uses take whole rows of the exchanged texts, so that they read one exchange.
+    texts = docs.select(F.col(text).alias("text")).mapInArrow(split, "digest binary, packed binary").repartition("digest")
+    rare = texts.mapInArrow(rare_words, "digest binary, word string, gaps binary")
+    met = rare.join(table.select("word", "ids").hint("merge"), "word").groupBy("digest").agg(F.collect_set(F.struct("gaps", "ids")).alias("found"))
+    whole = texts.join(met.hint("merge"), "digest", "left").sortWithinPartitions("digest")
+    return whole.select("digest", "packed", "found").mapInArrow(filled, "digest binary, ids binary")
+
+
+def _filled(rows: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], known: Known) -> list[bytes]:
+    """Ids of texts from the numbers of their words; the words of the gaps are numbered on for the moment."""
+    flats, sizes, numbers = [known.flat], [known.sizes], []
+    count = len(known.sizes)
+    for found, gaps in rows:
+        at = np.flatnonzero(found == 0)
+        for k, ids in gaps:
+            found[at[k]] = count
+            flats.append(ids.astype("<u4"))
+            sizes.append(np.array([len(ids)]))
+            count += 1
+        numbers.append(found)
+    flat, size, number = np.concatenate(flats), np.concatenate(sizes), np.concatenate(numbers)
+    each = size[number]
     ends = np.cumsum(each)
-    out = ids[np.repeat(np.arange(len(ids)), each)]
-    flat, start = np.concatenate([i for _, i in found]), np.cumsum(sizes) - sizes
-    size = each[at]
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(ends[at] - size, size) + inner] = flat[np.repeat(start[which], size) + inner]
-    return out
+    total = int(ends[-1]) if len(ends) else 0
+    ids = flat[np.repeat((np.cumsum(size) - size)[number] - (ends - each), each) + np.arange(total)]
+    upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, numbers)])].tolist()
+    return [ids[a:b].tobytes() for a, b in zip(upto, upto[1:])]
 
 
 def encode(docs: DataFrame, path: str, words: bool = True, doc_id: str = "doc_id", text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -220,9 +257,13 @@ def encode(docs: DataFrame, path: str, words: bool = True, doc_id: str = "doc_id
     the text and its ids once; only a word without white space is held whole. Further columns are ignored, whatever their
     names; an empty table gives an empty result.
     """
-    found = encoded_texts(docs, path, words, text, hot_bytes)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("digest"))
-    return rows.join(found, "digest").select(F.col("doc_id").alias(doc_id), "ids")
+    return per_document(docs, encoded_texts(docs, path, words, text, hot_bytes), doc_id, text)
+
+
+def per_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What was found for each text (by ``digest``), with the doc_id of every row that holds it."""
+    rows = docs.select(F.col(doc_id).alias("_doc_id"), digest(F.col(text)).alias("digest"))
+    return rows.join(found, "digest").drop("digest").withColumnRenamed("_doc_id", doc_id)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

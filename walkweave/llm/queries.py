@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import bpe, personal, toxicity
 from .common import table
 from .decontamination import contamination
+from .filter_audit import filter_audit
 from .jaccard import jaccard_components
 from .licenses import license_scan
 from .packing import pack
 from .sharding import hypergeometric_shards
+from .spelling import spelling_variants, words
 from .token_counts import token_counts
 from .token_files import token_files
 from .top_k import top_k
@@ -85,10 +87,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
+    found = bpe.decode(bpe.encoded_texts(docs, path), path).select(
+        "digest", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.per_document(docs, found)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(words(table(spark, sf_dir, "documents"), least=6, slip=199).where("n >= 5"), least=6)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -103,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_bpe": op11_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,4 +164,32 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+), m AS MATERIALIZED (
+  SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+), f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), w AS (SELECT '' AS o, 0 AS used UNION ALL SELECT o || letter, used | bit FROM w JOIN f ON used & bit = 0
+), s AS (
+  SELECT o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS letter, (SELECT bit FROM f WHERE letter = o[step]) AS bit,
+         coalesce((SELECT sum(bit) FROM f WHERE contains(o[1:step - 1], letter)), 0)::INTEGER AS used
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM w WHERE length(o) = 5)
+), c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL
+), r AS (
+  SELECT part, filter_order, step, letter,
+         CAST(sum(CASE WHEN mask & (used | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & used = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & used <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & used = 0 AND mask & bit <> 0 THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & used = 0 AND mask & bit <> 0 THEN x ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""",
 }
