@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from walkweave.functions.arrays import collapse_nulls, min_rotation, reverse_complement
 from walkweave.operators import canonical as C
 from walkweave.operators import graph as G
+from walkweave.operators import pairing as P
 from walkweave.operators import sampling as S
 from walkweave.operators.skew import heavy_keys, number_rows, running_sum
 from walkweave.operators.traversal import traverse, traverse_joins
@@ -205,11 +206,24 @@ def test_markov_moves_change_two_rights(spark):
     walks = S.markov_walks(wiring, 3, 4, seed=2)
     sizes = walks.groupBy("chain", "step").agg(F.count("*").alias("c"))
     assert {r["c"] for r in sizes.collect()} == {21}
+
+
+def test_self_avoiding_chains(spark):
+    _, _, wiring = wired(spark, THREE_WAY)
+    walks = S.self_avoiding_chains(wiring, 4, 6, 3, seed=5)
+    assert {r["c"] for r in walks.groupBy("chain", "step").agg(F.count("*").alias("c")).collect()} == {21}
     keys = C.karyotype_keys(C.walk_keys(walks.withColumn("kar_id", F.struct("gid", "chain", "step"))))
-    chain = keys.select("kar_id.gid", "kar_id.chain", "kar_id.step", *C.KEY)
-    kept = S.self_avoiding(chain)
-    seen = kept.groupBy("chain").agg(F.count("*").alias("c"), F.countDistinct(F.struct(*C.KEY)).alias("d")).collect()
-    assert all(r["c"] == r["d"] >= 1 for r in seen)
+    shown = keys.select("kar_id.chain", "kar_id.step", *C.KEY).collect()
+    chains = {}
+    for r in shown:
+        chains.setdefault(r["chain"], {})[r["step"]] = tuple(r[k] for k in C.KEY)
+    assert sorted(chains) == [0, 1, 2, 3]
+    for states in chains.values():
+        assert sorted(states) == list(range(len(states))) and len(set(states.values())) == len(states)
+    assert max(map(len, chains.values())) > 2 and len({s[0] for s in chains.values()}) > 1
+    # a graph whose nodes have one copy each has no move
+    still = wiring.filter("copy = 1").withColumn("right", F.col("left"))
+    assert {r["step"] for r in S.self_avoiding_chains(still, 2, 3, 2, seed=5).select("step").distinct().collect()} <= {0}
 
 
 def test_null_collapse(spark):
@@ -224,3 +238,22 @@ def test_junction_classes(spark):
     got = {r["node_id"]: r["cn_smooth"] for r in G.smoothed_cn(nodes, edges).collect()}
     assert got == {1: 4, 2: 3, 3: 4}
     assert G.repeated_junctions(edges.unionByName(edges.limit(1))).count() == 1
+
+
+def test_pasted_junctions_balance_the_graph(spark):
+    edges = spark.createDataFrame([(7, 1, "right", 2, "left", 2, "REF"), (7, 0, "right", 1, "left", 3, "LOO")], "gid long, n1 int, n1_side string, n2 int, n2_side string, cn long, type string")
+    nodes = spark.createDataFrame([(7, 1, 3), (7, 2, 5)], "gid long, node_id int, cn long")
+    loose = G.loose_ends(nodes, edges.filter("type <> 'LOO'"), ["gid"]).filter("cn > 0")
+    ends = loose.select("gid", (F.col("node_id") * 2 + F.when(F.col("orientation") == "right", 1).otherwise(0)).cast("long").alias("end_id"), "cn")
+    found = P.pair_loose_ends(ends, seed=1)
+    whole, left = G.paste_junctions(nodes, edges, found, ["gid"])
+    used = {}
+    for r in whole.collect():
+        for n, side in ((r["n1"], r["n1_side"]), (r["n2"], r["n2_side"])):
+            used[n, side] = used.get((n, side), 0) + r["cn"]
+        assert (r["n1"], r["n1_side"]) <= (r["n2"], r["n2_side"])
+    odd = ends.agg(F.sum("cn")).first()[0] % 2
+    assert sum(r["cn"] for r in left.collect()) == odd
+    assert sum({(1, "left"): 3, (1, "right"): 3, (2, "left"): 5, (2, "right"): 5}[k] - v for k, v in used.items()) == odd
+    again, _ = G.paste_junctions(nodes, whole, found.limit(0), ["gid"])
+    assert again.exceptAll(whole).isEmpty()

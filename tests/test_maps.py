@@ -219,17 +219,6 @@ def test_alignment_and_edit_distance(spark):
     assert got[10] == 0 and got[3] == got[103]
 
 
-def test_assignment_matches_brute_force():
-    rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 4, 5, 6):
-        for _ in range(40):
-            cost = rng.integers(0, 12, (n, n)).astype(float)
-            chosen = D._assign(cost)
-            assert sorted(chosen) == list(range(n))
-            best = min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(n)))
-            assert cost[np.arange(n), chosen].sum() == best
-
-
 def test_read_words_by_enumeration(spark):
     widths = {1: 3, 2: 5, 3: 2, 4: 4}
     nodes = spark.createDataFrame(list(widths.items()), "node_id int, width long")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from walkweave.operators.canonical import KEY, walk_keys
 from walkweave.operators.graph import count_junctions, graph_external, subids, wiring, with_next
+from walkweave.operators.intervals import overlap_semi
 from walkweave.operators.sampling import sample_walks
 from walkweave.session import cut
 
@@ -63,26 +65,73 @@ def score_rings(rings: DataFrame, nodes: DataFrame, edges: DataFrame, widths: Da
     return fit.select(*keys, F.col("max_cn").cast("long").alias("max_cn"), frac.alias("ampfrac"), (F.col("max_cn") * frac).alias("score"))
 
 
-def peel(scores: DataFrame, rings: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, seed: int = 1) -> DataFrame:
+def ranked_rings(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rings of every graph that fit into it: ``(gid, walk_id, max_cn, score, rank)``."""
+    w = Window.partitionBy("gid").orderBy(F.col("score").desc(), "walk_id")
+    return scores.filter("max_cn > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def peel(scores: DataFrame, rings: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, seed: int = 1, upto: bool = False) -> DataFrame:
     """Karyotypes built around the k-th best ring of every graph: ``(gid, walk_id, circular, pos, n, node, cn)``.
 
     The ring's copies leave the graph, one karyotype is sampled from what remains, and the ring is
-    added back with its copy number.
+    added back with its copy number.  With ``upto`` all of the k best rings are taken, each out of its own
+    copy of the graph, and the result has their ``rank``.
     """
-    w = Window.partitionBy("gid").orderBy(F.col("score").desc(), "walk_id")
-    best = scores.filter("max_cn > 0").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select("gid", "walk_id", "max_cn")
-    chosen = cut(rings.join(best, ["gid", "walk_id"]))
-    gone = chosen.groupBy("gid", F.abs("node").alias("node_id")).agg(F.sum("max_cn").alias("_sub"))
-    keep = nodes.join(best.select("gid"), "gid", "left_semi")
-    left_nodes = keep.join(gone, ["gid", "node_id"], "left").withColumn("cn", F.col("cn") - F.coalesce("_sub", F.lit(0))).filter(
-        "cn > 0").drop("_sub")
+    best = ranked_rings(scores, k)
+    best = (best if upto else best.filter(F.col("rank") == k)).select("gid", "walk_id", "max_cn", "rank")
+    # one graph for every ring that is taken out
+    each = F.col("gid") * k + F.col("rank") - 1
+    chosen = cut(rings.join(best, ["gid", "walk_id"]).withColumn("_g", each))
+    own = best.select("gid", each.alias("_g"))
+    gone = chosen.groupBy("_g", F.abs("node").alias("node_id")).agg(F.sum("max_cn").alias("_sub"))
+    left_nodes = nodes.join(own, "gid").join(gone, ["_g", "node_id"], "left").withColumn("cn", F.col("cn") - F.coalesce("_sub", F.lit(0))).filter(
+        "cn > 0").drop("_sub", "gid").withColumnRenamed("_g", "gid")
     ends = ["n1", "n1_side", "n2", "n2_side"]
-    hops = count_junctions(with_next(chosen, 2, ["gid", "walk_id"]).filter("nx1 IS NOT NULL"), ["gid", "max_cn"], None)
-    used = hops.select("gid", *ends, (F.col("cn") * F.col("max_cn")).alias("_sub"))
-    left_edges = edges.filter("type <> 'LOO'").join(best.select("gid"), "gid", "left_semi").join(used, ["gid", *ends], "left").withColumn(
-        "cn", F.col("cn") - F.coalesce("_sub", F.lit(0))).filter("cn > 0").drop("_sub")
+    hops = count_junctions(with_next(chosen, 2, ["_g", "walk_id"]).filter("nx1 IS NOT NULL"), ["_g", "max_cn"], None)
+    used = hops.select("_g", *ends, (F.col("cn") * F.col("max_cn")).alias("_sub"))
+    left_edges = edges.filter("type <> 'LOO'").join(own, "gid").join(used, ["_g", *ends], "left").withColumn(
+        "cn", F.col("cn") - F.coalesce("_sub", F.lit(0))).filter("cn > 0").drop("_sub", "gid").withColumnRenamed("_g", "gid")
     rest = wiring(cut(subids(graph_external(left_nodes, left_edges, ["gid"]), ["gid"])), ["gid"])
+    at = [F.floor(F.col("gid") / k).alias("gid"), (F.pmod(F.col("gid"), F.lit(k)) + 1).cast("int").alias("rank")]
     others = sample_walks(rest, 1, seed, unique=False).select(
-        "gid", F.col("walk_id").cast("long").alias("walk_id"), "circular", "pos", "n", "node", F.lit(1).cast("long").alias("cn"))
-    rings_back = chosen.select("gid", (-F.col("walk_id") - 1).cast("long").alias("walk_id"), "circular", "pos", "n", "node", F.col("max_cn").alias("cn"))
-    return others.unionByName(rings_back)
+        *at, F.col("walk_id").cast("long").alias("walk_id"), "circular", "pos", "n", "node", F.lit(1).cast("long").alias("cn"))
+    rings_back = chosen.select("gid", F.col("rank").cast("int").alias("rank"), (-F.col("walk_id") - 1).cast("long").alias("walk_id"), "circular", "pos", "n", "node",
+                               F.col("max_cn").alias("cn"))
+    out = others.unionByName(rings_back)
+    return out if upto else out.drop("rank")
+
+
+def boil_rings(wiring_rows: DataFrame, nodes: DataFrame, edges: DataFrame, genome: DataFrame, amplicon: DataFrame, samples: int, seed: int = 1,
+               margin: int = 1000, split: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct circular walks over an amplicon in ``samples`` karyotypes of every graph, and their scores: ``(rings, scores)``.
+
+    ``amplicon`` holds ranges.  Nodes further than ``margin`` from it are frozen, so the samples differ around the amplicon only.
+    """
+    inside = overlap_semi(genome, amplicon, 1 << 20, "node_id").select("node_id")
+    steps = sample_walks(wiring_rows, samples, seed, frozen_nodes(genome, amplicon, margin), unique=False, split=split).filter("circular")
+    steps = cut(steps.withColumn("walk_id", F.struct("kar_id", "walk_id")).drop("kar_id"))
+    keys = walk_keys(steps, ("gid", "walk_id"))
+    first = keys.groupBy("gid", *KEY).agg(F.min("walk_id").alias("walk_id")).select("gid", "walk_id")
+    number = F.row_number().over(Window.partitionBy("gid").orderBy("walk_id")) - 1
+    first = first.withColumn("_id", number.cast("long"))
+    rings = cut(steps.join(first, ["gid", "walk_id"]).drop("walk_id").withColumnRenamed("_id", "walk_id"))
+    return rings, score_rings(rings, nodes, edges, genome, inside)
+
+
+def boil(wiring_rows: DataFrame, nodes: DataFrame, edges: DataFrame, genome: DataFrame, amplicon: DataFrame, samples: int, k: int = 1, seed: int = 1,
+         margin: int = 1000, split: bool = False) -> DataFrame:
+    """Karyotypes around the k best rings over the amplicon: as ``peel``, with ``rank``."""
+    rings, scores = boil_rings(wiring_rows, nodes, edges, genome, amplicon, samples, seed, margin, split)
+    return peel(cut(scores), rings.select("gid", "walk_id", "circular", "pos", "n", "node"), nodes, edges, k, seed, upto=True)
+
+
+def squeeze(wiring_rows: DataFrame, genome: DataFrame, amplicon: DataFrame, samples: int, k: int = 1, seed: int = 1, margin: int = 1000,
+            split: bool = False) -> DataFrame:
+    """The k sampled karyotypes of every graph that spread the amplicon least over their walks: ``(gid, kar_id, entropy, rank)``.
+
+    ``amplicon`` holds ranges.  Nodes further than ``margin`` from it are frozen.
+    """
+    inside = overlap_semi(genome, amplicon, 1 << 20, "node_id").select("node_id")
+    steps = sample_walks(wiring_rows, samples, seed, frozen_nodes(genome, amplicon, margin), unique=False, split=split)
+    return lowest_entropy(amplicon_entropy(steps, inside, ["gid", "kar_id"]).withColumn("entropy", F.round("entropy", 9)), k)

@@ -13,27 +13,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkweave.operators.skew import running_sum
+from walkweave.operators.skew import SMALL_ROWS, running_sum
 from walkweave.sources.calibration import SYNTHETIC, Decay
 
 #: steps per block of the pair stage
 PAIR_STEPS = 256
 
 
-def place_tiles(steps: DataFrame, nodes: DataFrame, tiles: DataFrame, keys: Sequence[str] = ("walk_id",),
-                split: bool = False) -> DataFrame:
-    """Tiles along each walk with their mid point in walk coordinates and the walk length ``len``.
+def node_tiles(nodes: DataFrame, tiles: DataFrame) -> tuple[DataFrame, bool]:
+    """Length and tiles of every node, one row a node, ``(node_id, nw, _tiles)``, hinted if small by count; and whether some
+    nodes have no tile.
 
-    A node partly outside the tiled region is as long as its tiles; one fully outside keeps its width.
+    A node partly outside the tiled region is as long as its tiles; one fully outside keeps its width and has no tiles.
     """
     by_node = Window.partitionBy("node_id").orderBy("tile_id")
     inner = tiles.select(
         "node_id", "tile_id", F.col("width").alias("tw"),
         (F.sum("width").over(by_node.rowsBetween(Window.unboundedPreceding, 0)) - F.col("width")).alias("off"),
     )
-    tiled = tiles.groupBy("node_id").agg(F.sum("width").alias("_tw"))
-    widths = nodes.join(tiled, "node_id", "left").select("node_id", F.coalesce("_tw", "width").alias("nw"))
-    placed = steps.withColumn("node_id", F.abs("node")).join(widths, "node_id")
+    packed = inner.groupBy("node_id").agg(
+        F.sum("tw").alias("_tw"), F.array_sort(F.collect_list(F.struct("tile_id", "tw", "off"))).alias("_tiles"))
+    table = nodes.select("node_id", "width").join(packed, "node_id", "left").select("node_id", F.coalesce("_tw", "width").alias("nw"), "_tiles")
+    seen = nodes.select("node_id", F.lit(0).alias("_t")).unionByName(tiles.select("node_id", F.lit(1).alias("_t"))).groupBy("node_id").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_t").alias("_t")).agg(F.sum("_c").alias("rows"), F.min("_t").alias("least")).first()
+    small = (seen["rows"] or 0) <= SMALL_ROWS
+    return (F.broadcast(table) if small else table), seen["least"] == 0
+
+
+def place_tiles(steps: DataFrame, nodes: DataFrame, tiles: DataFrame, keys: Sequence[str] = ("walk_id",),
+                split: bool = False) -> DataFrame:
+    """Steps with the walk length ``len`` and their tiles in walk coordinates, ``_at`` (tile_id, tw, mid), null without tiles.
+
+    Where the tiles leave nodes out, walks that meet no tile go first, before anything is summed along walks.
+    """
+    table, partial = node_tiles(nodes, tiles)
+    placed = steps.withColumn("node_id", F.abs("node")).join(table, "node_id")
+    if partial:
+        hit = placed.filter("_tiles IS NOT NULL").select(*keys).distinct()
+        placed = placed.join(hit, list(keys), "left_semi")
     placed = running_sum(placed, keys, F.col("nw"), "_end", split=split)
     if split:
         total = placed.groupBy(*keys).agg(F.max("_end").alias("len"))
@@ -41,10 +58,12 @@ def place_tiles(steps: DataFrame, nodes: DataFrame, tiles: DataFrame, keys: Sequ
     else:
         placed = placed.withColumn("len", F.max("_end").over(Window.partitionBy(*keys)))
     start = F.col("_end") - F.col("nw")
-    within = F.when(F.col("node") > 0, F.col("off")).otherwise(F.col("nw") - F.col("off") - F.col("tw"))
-    return placed.join(inner, "node_id").withColumn("mid", start + within + (F.col("tw") + 1) / 2).drop(
-        "node_id", "_end", "nw", "off", "node"
-    )
+
+    def at(t: Column) -> Column:
+        within = F.when(F.col("node") > 0, t["off"]).otherwise(F.col("nw") - t["off"] - t["tw"])
+        return F.struct(t["tile_id"].alias("tile_id"), t["tw"].alias("tw"), (start + within + (t["tw"] + 1) / 2).alias("mid"))
+
+    return placed.withColumn("_at", F.transform("_tiles", at)).drop("node_id", "_end", "nw", "node", "_tiles")
 
 
 def walk_pixels(
@@ -57,26 +76,26 @@ def walk_pixels(
     decay: Decay = SYNTHETIC,
     split: bool = False,
     pair_steps: int = PAIR_STEPS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Within-walk contacts per reference pixel: ``(by, i, j, value)``, ``i <= j``, non-zero pixels only.
 
     ``model = 0`` uses the distance decay, a positive model is a mean read length.  A ``cn`` column on
-    the steps multiplies a walk's contacts.
+    the steps multiplies a walk's contacts.  The tiles of a walk of up to ``pair_steps`` steps meet in one row of the walk;
+    longer walks meet block by block.  ``longest`` bounds the steps of a walk from above, if known.
     """
     placed = place_tiles(steps, nodes, tiles, keys, split)
-    cn = F.col("cn") if "cn" in steps.columns else F.lit(1)
+    placed = placed.withColumn("_cn", F.col("cn") if "cn" in steps.columns else F.lit(1))
     carry = list(dict.fromkeys([*by, *keys]))
-    blk = F.floor((F.col("pos") - 1) / pair_steps)
-    last = F.floor((F.col("n") - 1) / pair_steps)
-    a = placed.select(
-        *carry, "circular", "len", cn.alias("_cn"), F.col("tile_id").alias("p"), F.col("tw").alias("wa"),
-        F.col("mid").alias("ma"), blk.alias("_ba"), F.explode(F.sequence(blk, last)).alias("_bb"),
-    )
-    b = placed.select(
-        *keys, F.col("tile_id").alias("q"), F.col("tw").alias("wb"), F.col("mid").alias("mb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), blk)).alias("_ba"), blk.alias("_bb"),
-    )
-    pairs = a.join(b, [*keys, "_ba", "_bb"]).filter(F.col("ma") <= F.col("mb"))
+    short = placed if longest is not None and longest <= pair_steps else placed.filter(F.col("n") <= pair_steps)
+    # after the running sum the steps of a walk are together, so this takes no further exchange
+    rows = short.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carry if c not in keys], *[F.first(c).alias(c) for c in ("circular", "len", "_cn")],
+        F.flatten(F.collect_list("_at")).alias("_all"))
+    pairs = rows.select("*", F.explode("_all").alias("_a")).select("*", F.explode("_all").alias("_b")).filter("_a.mid <= _b.mid")
+    pairs = pairs.select(*by, "circular", "len", "_cn", *_pair("_a", "_b"))
+    if longest is None or longest > pair_steps:
+        pairs = pairs.unionByName(_block_pairs(placed.filter(F.col("n") > pair_steps), by, keys, carry, pair_steps))
     dist = F.col("mb") - F.col("ma")
     dist = F.when(F.col("circular"), F.least(dist, F.col("len") - dist)).otherwise(dist)
     pairs = pairs.withColumns({"d": dist, "area": F.col("wa").cast("double") * F.col("wb")})
@@ -88,6 +107,22 @@ def walk_pixels(
     )
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.tile_id").alias("p"), F.col(f"{a}.tw").alias("wa"), F.col(f"{a}.mid").alias("ma"),
+            F.col(f"{b}.tile_id").alias("q"), F.col(f"{b}.tw").alias("wb"), F.col(f"{b}.mid").alias("mb")]
+
+
+def _block_pairs(placed: DataFrame, by: Sequence[str], keys: Sequence[str], carry: list[str], pair_steps: int) -> DataFrame:
+    """Pairs of tiles of long walks, by pairs of blocks of steps."""
+    blk = F.floor((F.col("pos") - 1) / pair_steps)
+    last = F.floor((F.col("n") - 1) / pair_steps)
+    each = placed.withColumn("x", F.explode("_at"))
+    a = each.select(*carry, "circular", "len", "_cn", F.col("x").alias("_a"), blk.alias("_ba"), F.explode(F.sequence(blk, last)).alias("_bb"))
+    b = each.select(*keys, F.col("x").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), blk)).alias("_ba"), blk.alias("_bb"))
+    met = a.join(b, [*keys, "_ba", "_bb"]).filter("_a.mid <= _b.mid")
+    return met.select(*by, "circular", "len", "_cn", *_pair("_a", "_b"))
+
+
 def template(tiles: DataFrame, interactions: bool = False) -> DataFrame:
     """All pixels ``(i, j, id, widthprod)`` of the upper triangle; ``id`` runs row by row.
 
@@ -144,12 +179,13 @@ def simulate(
     keys: Sequence[str] = ("walk_id",),
     decay: Decay = SYNTHETIC,
     split: bool = False,
+    longest: int | None = None,
 ) -> DataFrame:
     """Contact map of one set of walks over the whole template: ``(i, j, id, widthprod, value)``.
 
     ``depth`` counts both haplotypes, so half of it scales the map.
     """
-    inside = walk_pixels(steps, nodes, tiles, (), keys, model, decay, split).withColumnRenamed("value", "_v")
+    inside = walk_pixels(steps, nodes, tiles, (), keys, model, decay, split, longest=longest).withColumnRenamed("value", "_v")
     grid = template(tiles)
     grid = background(grid, tiles, decay) if interchrom and model == 0 else grid.withColumn("value", F.lit(0.0))
     return grid.join(inside, ["i", "j"], "left").withColumn(

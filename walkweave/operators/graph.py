@@ -278,6 +278,19 @@ def repeated_junctions(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def add_junctions(edges: DataFrame, pairing: DataFrame) -> DataFrame:
-    """Append paired loose ends as ``ALT`` edges (columns absent on one side become NULL)."""
-    return edges.unionByName(pairing.withColumn("type", F.lit("ALT")), allowMissingColumns=True)
+def paste_junctions(nodes: DataFrame, edges: DataFrame, junctions: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Graphs with paired loose ends joined: ``(edges, loose)``.
+
+    ``junctions`` is ``(by, a, b, cn)`` over ends numbered ``2 * node`` (left) and ``2 * node + 1`` (right), as from the pairing
+    of loose ends; ``a = b`` folds an end back, which takes two of its copies.  They become ``ALT`` edges, or add to an edge
+    between the same ends.  ``loose`` holds what no junction takes up now: ``(by, node_id, orientation, node_cn, cn)``, cn > 0.
+    """
+    end = lambda c: F.struct(F.floor(F.col(c) / 2).cast("int").alias("n"), F.when(F.col(c) % 2 == 0, "left").otherwise("right").alias("side"))
+    lo, hi = F.least(end("a"), end("b")), F.greatest(end("a"), end("b"))
+    new = junctions.select(*by, lo.alias("_lo"), hi.alias("_hi"), "cn").select(
+        *by, F.col("_lo.n").alias("n1"), F.col("_lo.side").alias("n1_side"), F.col("_hi.n").alias("n2"), F.col("_hi.side").alias("n2_side"),
+        "cn", F.lit("ALT").alias("type"))
+    ends = ["n1", "n1_side", "n2", "n2_side"]
+    whole = edges.filter("type <> 'LOO'").select(*by, *ends, "cn", "type").unionByName(new).groupBy(*by, *ends).agg(
+        F.sum("cn").alias("cn"), F.max("type").alias("type"))
+    return whole, loose_ends(nodes, whole, by).filter("cn > 0")

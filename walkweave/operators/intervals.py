@@ -102,11 +102,13 @@ def windows(regions: DataFrame, width: int) -> DataFrame:
 
 
 def half_nodes(nodes: DataFrame) -> DataFrame:
-    """Two tiles per node: the left half gets ``floor(width / 2)`` bases.  Tile ids follow the node ids."""
+    """Two tiles per node: the left half gets ``floor(width / 2)`` bases.  Tile ids follow the node ids, or the numbers of
+    the pieces where nodes were cut (``piece``)."""
+    at = "piece" if "piece" in nodes.columns else "node_id"
     width = F.col("end") - F.col("start") + 1
     left = F.floor(width / 2)
     return nodes.withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right")))).select(
-        (F.col("node_id") * 2 - F.when(F.col("side") == "left", 1).otherwise(0)).cast("int").alias("tile_id"),
+        (F.col(at) * 2 - F.when(F.col("side") == "left", 1).otherwise(0)).cast("int").alias("tile_id"),
         "node_id", "seqnames", "side",
         F.when(F.col("side") == "left", F.col("start")).otherwise(F.col("start") + left).alias("start"),
         F.when(F.col("side") == "left", F.col("start") + left - 1).otherwise(F.col("end")).alias("end"),

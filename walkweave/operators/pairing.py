@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,14 +93,16 @@ def fewest_junctions(ends: Sequence[tuple[int, int]], max_states: int | None = N
 
 
 def balanced_family(cn: Sequence[int], max_states: int | None = None) -> list[tuple[int, int]]:
-    """A largest family of disjoint balanced sets of distinct descending numbers, as bit masks (set, one of its sides).
+    """A largest family of disjoint balanced sets of distinct numbers, as bit masks (set, one of its sides).
 
-    Distinct numbers balance in sets of three or more, so there are at most n // 3 of them; sizes are tried from that
-    bound down, and the first that can be had ends the search.  The largest number left is either the head of a set of
-    as many numbers as the others leave room for, or unused; what failed for a rest is remembered.
+    Distinct numbers balance in sets of three or more, so there are at most n // 3 of them; numbers of sets are tried from
+    that bound down, and the first that can be had ends the search.  Sets are taken by their size, the smallest first: of
+    ``wanted`` sets in ``count`` numbers the smallest has at most ``count // wanted`` of them, and there are few small ones.
+    All sets of a size come from a join of half sets by their signed sums; the last set is found by reachable sums.
     """
-    states = 0
-    failed: dict[int, int] = {}
+    n, states = len(cn), 0
+    whole = (1 << n) - 1
+    sizes: dict[int, list[tuple[int, int]]] = {}
 
     def step() -> None:
         nonlocal states
@@ -107,53 +110,115 @@ def balanced_family(cn: Sequence[int], max_states: int | None = None) -> list[tu
         if max_states is not None and states > max_states:
             raise TooManyStates
 
-    def sets(head: int, free: list[int], size: int) -> Iterator[tuple[int, int]]:
-        """Balanced sets of the head and ``size - 1`` smaller numbers."""
-        rest = [0]
-        for k in reversed(free):
-            rest.append(rest[-1] + cn[k])
-        rest.reverse()
-
-        def grow(at: int, gap: int, more: int, used: int, plus: int) -> Iterator[tuple[int, int]]:
-            if more == 0:
-                if gap == 0:
-                    yield used, plus
-                return
-            for i in range(at, len(free) - more + 1):
-                if abs(gap) > rest[i]:
-                    return
-                step()
-                k = free[i]
-                yield from grow(i + 1, gap - cn[k], more - 1, used | 1 << k, plus)
-                yield from grow(i + 1, gap + cn[k], more - 1, used | 1 << k, plus | 1 << k)
-
-        yield from grow(0, cn[head], size - 1, 1 << head, 1 << head)
-
-    def search(mask: int, wanted: int) -> list[tuple[int, int]] | None:
-        if wanted == 0:
-            return []
-        count = mask.bit_count()
-        if count < 3 * wanted or failed.get(mask, wanted + 1) <= wanted:
-            return None
+    def of_size(size: int) -> list[tuple[int, int]]:
+        if size not in sizes:
+            sizes[size] = balanced_sets(cn, size)
+        return sizes[size]
+
+    def search(mask: int, wanted: int, size: int, at: int) -> list[tuple[int, int]] | None:
         step()
-        free = [k for k in range(len(cn)) if mask >> k & 1]
-        for size in range(3, count - 3 * (wanted - 1) + 1):
-            for used, plus in sets(free[0], free[1:], size):
-                found = search(mask ^ used, wanted - 1)
-                if found is not None:
-                    return [(used, plus), *found]
-        found = search(mask ^ (1 << free[0]), wanted)
-        if found is None:
-            failed[mask] = min(wanted, failed.get(mask, wanted))
-        return found
-
-    for wanted in range(len(cn) // 3, 0, -1):
-        found = search((1 << len(cn)) - 1, wanted)
+        if wanted == 1:
+            last = balanced_subset(cn, mask)
+            return None if last is None else [last]
+        for k in range(size, mask.bit_count() // wanted + 1):
+            some = of_size(k)
+            for i in range(at if k == size else 0, len(some)):
+                used, plus = some[i]
+                if used & ~mask == 0:
+                    rest = search(mask ^ used, wanted - 1, k, i + 1)
+                    if rest is not None:
+                        return [(used, plus), *rest]
+        return None
+
+    if balanced_subset(cn, whole) is None:
+        return []
+    for wanted in range(n // 3, 0, -1):
+        found = search(whole, wanted, 3, 0)
         if found is not None:
             return found
     return []
 
 
+def balanced_sets(cn: Sequence[int], size: int) -> list[tuple[int, int]]:
+    """All sets of ``size`` numbers that split into two sides of equal sum, once each: (set, one of its sides)."""
+    small, large = _signed(cn, size // 2), _signed(cn, size - size // 2)
+    order = np.argsort(large[2], kind="stable")
+    sums = large[2][order]
+    first, last = np.searchsorted(sums, -small[2], "left"), np.searchsorted(sums, -small[2], "right")
+    found: dict[int, int] = {}
+    for at in range(0, len(first), 1 << 16):
+        count = (last - first)[at:at + (1 << 16)]
+        left = np.repeat(np.arange(at, at + len(count)), count)
+        right = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[at:at + (1 << 16)], count)]
+        apart = small[0][left] & large[0][right] == 0
+        left, right = left[apart], right[apart]
+        both, one = np.unique(small[0][left] | large[0][right], return_index=True)
+        plus = (small[1][left] | large[1][right])[one]
+        for mask, side in zip(both.tolist(), plus.tolist()):
+            found.setdefault(mask, side)
+    return sorted(found.items())
+
+
+def _signed(cn: Sequence[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks, masks of the positive numbers and sums of all signed choices of ``size`` numbers."""
+    masks, plus, sums, top = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1)
+    for _ in range(size):
+        parts = []
+        for k, c in enumerate(cn):
+            here = top < k
+            for sign in (1, -1):
+                bit = 1 << k
+                parts.append((masks[here] | bit, plus[here] | (bit if sign > 0 else 0), sums[here] + sign * c, np.full(here.sum(), k)))
+        masks, plus, sums, top = (np.concatenate(x) for x in zip(*parts))
+    return masks, plus, sums
+
+
+def balanced_subset(cn: Sequence[int], mask: int) -> tuple[int, int] | None:
+    """Some balanced set among the numbers of ``mask``, if there is one.
+
+    Two halves of the numbers with opposite signed sums, or, where there are fewer sums than choices, the sums reached one
+    number after the other.
+    """
+    some = [k for k in range(len(cn)) if mask >> k & 1]
+    if 2 * sum(cn[k] for k in some) < 3 ** ((len(some) + 1) // 2):
+        return _reached(cn, some)
+    left, right = _choices(cn, some[::2]), _choices(cn, some[1::2])
+    order = np.argsort(right[2], kind="stable")
+    at = np.searchsorted(right[2][order], -left[2])
+    # the first choice on the right with that sum; the next one where both are empty
+    for shift in (0, 1):
+        near = order[np.minimum(at + shift, len(order) - 1)]
+        hit = np.flatnonzero((at + shift < len(order)) & (right[2][near] == -left[2]) & ((left[0] | right[0][near]) != 0))
+        if hit.size:
+            i, j = hit[0], near[hit[0]]
+            return int(left[0][i] | right[0][j]), int(left[1][i] | right[1][j])
+    return None
+
+
+def _reached(cn: Sequence[int], some: Sequence[int]) -> tuple[int, int] | None:
+    reached: dict[int, tuple[int, int]] = {}
+    for k in some:
+        bit, c, more = 1 << k, cn[k], {}
+        for total, (used, plus) in [(0, (0, 0)), *reached.items()]:
+            for sign in (1, -1):
+                if total + sign * c == 0:
+                    return used | bit, plus | (bit if sign > 0 else 0)
+                more.setdefault(total + sign * c, (used | bit, plus | (bit if sign > 0 else 0)))
+        for total, way in more.items():
+            reached.setdefault(total, way)
+    return None
+
+
+def _choices(cn: Sequence[int], some: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks, masks of the positive numbers and sums of all signed choices of some of the numbers ``some``."""
+    masks, plus, sums = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for k in some:
+        bit = 1 << k
+        masks, plus, sums = (np.concatenate((masks, masks | bit, masks | bit)), np.concatenate((plus, plus | bit, plus)),
+                             np.concatenate((sums, sums + cn[k], sums - cn[k])))
+    return masks, plus, sums
+
+
 def _join(left, right) -> list[tuple[int, int, int]]:
     """Use up two sides of equal sum, one end per junction."""
     left, right, out = list(left), list(right), []

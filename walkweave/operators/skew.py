@@ -18,10 +18,24 @@ MIN_HOT_ROWS = 1_000_000
 HOT_SHARE = 1 / 1000
 #: buckets of the first counting pass (each at most a few rows of driver memory)
 HASH_BUCKETS = 8192
+#: rows of a side table up to which it is sent to every task
+SMALL_ROWS = 200_000
 #: walk positions are cut into blocks of this many rows once they are numbered
 BLOCK = 1 << 16
 
 
+def hinted(table: DataFrame, *sources: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if the rows of its sources, counted together, are at most ``SMALL_ROWS``.
+
+    For tables with a row (or an array element) for each row of a source.
+    """
+    rows = None
+    for source in sources:
+        one = source.select(F.lit(1).alias("_"))
+        rows = one if rows is None else rows.unionByName(one)
+    return F.broadcast(table) if rows.count() <= SMALL_ROWS else table
+
+
 def key_profile(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> tuple[list, int]:
     """Keys holding more than ``max(min_rows, HOT_SHARE * rows)`` rows, and an upper bound on rows per key.
 

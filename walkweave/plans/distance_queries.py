@@ -32,8 +32,8 @@ def kmer_pairs(spark, sf):
 
 
 def minimal_read_length(spark, sf):
-    steps = cut(T.order_walks(spark, sf).df)
-    return R.minimal_read_length(T.order_pairs(spark, sf), steps, T.genome(spark, sf))
+    walks = T.order_walks(spark, sf)
+    return R.minimal_read_length(T.order_pairs(spark, sf), cut(walks.df), T.genome(spark, sf), split=walks.split, bound=walks.longest)
 
 
 def _words(spark, sf):
@@ -65,11 +65,11 @@ def longread_kl(spark, sf):
 
 
 def call_longreads(spark, sf):
-    """Reads of the first karyotype's joint vocabulary, one per word it can show."""
+    """Every read that the first karyotype can show, as often as it shows it."""
     both = cut(_pair_words(spark, sf))
-    observed = both.filter("a > 0").select("pair_id", "word", F.lit(1).alias("count"))
+    observed = both.filter("a > 0").select("pair_id", "word", F.col("a").alias("count"))
     called = R.call_reads(observed, both, background=1e-3)
-    return called.withColumn("llr", F.round("llr", 7))
+    return called.withColumn("llr", F.round("llr", 3))
 
 
 def read_separability(spark, sf):
@@ -83,10 +83,9 @@ def aligned_walks(spark, sf):
     source = T.order_walks(spark, sf)
     walks = D.weighted_walks(source.df, T.genome(spark, sf), bound=source.longest).withColumn("flag", F.col("walk_id") % 3)
     pairs = T.order_pairs(spark, sf)
-    a = pairs.join(walks.select(F.col("kar_id").alias("kar_a"), "flag", F.col("nodes").alias("x"), "ws", F.col("total").alias("wx")), "kar_a")
+    a = pairs.join(walks.select(F.col("kar_id").alias("kar_a"), "flag", F.col("nodes").alias("x"), F.col("ws").alias("w"), F.col("total").alias("wx")), "kar_a")
     b = walks.select(F.col("kar_id").alias("kar_b"), "flag", F.col("nodes").alias("y"), F.col("total").alias("wy"))
-    cost = D.alignment_cost(F.col("x"), F.col("y"), F.col("ws"), F.col("wx"), F.col("wy"))
-    return a.join(b, ["kar_b", "flag"]).select("pair_id", "flag", cost.alias("cost"))
+    return D.aligned_cost(a.join(b, ["kar_b", "flag"]).drop("kar_a", "kar_b"))
 
 
 def _edit(spark, sf, **kw):
@@ -104,7 +103,7 @@ def edit_distance_unit(spark, sf):
 
 def _pixels(spark, sf):
     walks, nodes = T.order_walks(spark, sf), T.genome(spark, sf)
-    return K.walk_pixels(walks.df, nodes, I.half_nodes(nodes), ["kar_id"], split=walks.split)
+    return K.walk_pixels(walks.df, nodes, I.half_nodes(nodes), ["kar_id"], split=walks.split, longest=walks.longest)
 
 
 def contact_kl(spark, sf):
@@ -127,7 +126,7 @@ def region_kl(spark, sf):
     member = cust.join(region, "n_nationkey").select("kar_id", "region")
     steps = walks.df.join(member, "kar_id")
     half = I.half_nodes(nodes)
-    pixels = K.walk_pixels(steps, nodes, half, ["region"], split=walks.split)
+    pixels = K.walk_pixels(steps, nodes, half, ["region"], split=walks.split, longest=walks.longest)
     pairs = D.all_pairs(region.select("region").distinct(), "region")
     kl = D.contact_kl(pairs, pixels, half, DEPTH, area0=AREA0, kar="region")
     full = D.complete_matrix(pairs.join(kl, "pair_id").withColumn("hic", F.round("hic", 1)), ["hic"])
@@ -293,8 +292,8 @@ QUERIES = {
         SELECT word, CAST(sum(nums) AS BIGINT) AS nums FROM words GROUP BY word"""),
     "longread_kl": (longread_kl, f"WITH {GENOME}, {ORDER_STEPS}, {PAIR_WORDS}, {_probs(1e-5)}, {KL_LR} SELECT pair_id, longread FROM lr"),
     "call_longreads": (call_longreads, f"""WITH {GENOME}, {ORDER_STEPS}, {PAIR_WORDS}, {_probs(1e-3)},
-        ll AS (SELECT pair_id, sum(ln(p / q)) AS llr FROM pq WHERE ca > 0 GROUP BY pair_id)
-        SELECT pair_id, round(llr, 7) AS llr, CASE WHEN llr > 0 THEN 'a' WHEN llr < 0 THEN 'b'
+        ll AS (SELECT pair_id, sum(ca * ln(p / q)) AS llr FROM pq WHERE ca > 0 GROUP BY pair_id)
+        SELECT pair_id, round(llr, 3) AS llr, CASE WHEN llr > 0 THEN 'a' WHEN llr < 0 THEN 'b'
                WHEN {sql_uniform(1, 'pair_id')} < 0.5 THEN 'a' ELSE 'b' END AS called FROM ll"""),
     "read_separability": (read_separability, f"""WITH {GENOME}, {ORDER_STEPS}, {PAIR_WORDS}, {_probs(1e-3)},
         sides AS (SELECT pair_id, word, ln(p / q) AS llr, s AS source, CASE WHEN s = 0 THEN p ELSE q END AS w FROM pq CROSS JOIN range(2) r(s)),

@@ -129,6 +129,17 @@ def markov_chains(spark, sf):
         F.count(F.lit(1)).alias("walks"), F.sum(F.col("circular").cast("int")).alias("rings"), F.sum("n").alias("rows"))
 
 
+AVOID_CHAINS, AVOID_ATTEMPTS, AVOID_STEPS, AVOID_SEED = 2, 2, 2, 31
+
+
+def self_avoiding_chains(spark, sf):
+    """Chains from starts of their own that show no karyotype twice; the walks of every state they reach."""
+    w, split = _gid_wiring(spark, sf)
+    steps = S.self_avoiding_chains(cut(w), AVOID_CHAINS, AVOID_STEPS, AVOID_ATTEMPTS, AVOID_SEED, split)
+    return steps.filter("pos = 1").groupBy("gid", "chain", "step").agg(
+        F.count(F.lit(1)).alias("walks"), F.sum(F.col("circular").cast("int")).alias("rings"), F.sum("n").alias("rows"))
+
+
 # ---- oracle text -------------------------------------------------------------------------------
 
 NXT = """
@@ -274,6 +285,51 @@ xy AS (
   FROM picked p JOIN ranges r ON r.gid = p.gid AND p.pick <= r.hi AND p.pick > r.hi - r.cn)"""
 
 
+def _moved(out: str, src: str, step: int, attempt: str) -> str:
+    """Every row of ``src`` after both moves of its chain at ``step``; ``attempt`` numbers the result within the chain."""
+    return f"""
+{out} AS MATERIALIZED (
+  SELECT s.gid, s.chain, {attempt} AS t, s.n, s.copy, s."left", CASE WHEN p.gid IS NULL THEN s."right" ELSE p."right" END AS "right"
+  FROM {src} s JOIN mv m ON m.gid = s.gid AND m.chain // {AVOID_ATTEMPTS} = s.chain AND m.step = {step}
+  LEFT JOIN {src} p ON p.gid = s.gid AND p.chain = s.chain AND p.t = s.t AND p.n = s.n AND s.n = m.n
+    AND p.copy = CASE s.copy WHEN m.a THEN m.b WHEN m.b THEN m.a END)"""
+
+
+#: All states that two steps of two attempts can reach (1 + 2 + 4 a chain), their karyotypes, and the first unseen of each step.
+AVOIDING = f"""
+{MOVES.replace('range(2) a(c)', f'range({AVOID_CHAINS * AVOID_ATTEMPTS}) a(c)').replace('range(1, 4) b(t)', f'range(1, {AVOID_STEPS + 1}) b(t)')
+      .replace(sql_draw(11, 'gid', 'chain', 'step'), sql_draw(AVOID_SEED, 'gid', 'chain', 'step'))
+      .replace(sql_draw(12, 'p.gid', 'p.chain', 'p.step'), sql_draw(AVOID_SEED + 1, 'p.gid', 'p.chain', 'p.step'))
+      .replace(sql_draw(13, 'p.gid', 'p.chain', 'p.step'), sql_draw(AVOID_SEED + 2, 'p.gid', 'p.chain', 'p.step'))},
+mv AS MATERIALIZED (
+  SELECT gid, chain, step, n, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT *, CASE WHEN y0 >= x THEN y0 + 1 ELSE y0 END AS y FROM xy)),
+sd AS MATERIALIZED (
+  SELECT gid, s AS chain, n, copy, "left", "right", {sql_draw(AVOID_SEED + 3, 's', 'gid', 'n', 'copy')} AS o FROM wiring CROSS JOIN range({AVOID_CHAINS}) r(s)),
+sr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gid, chain, n ORDER BY o, copy) AS slot FROM sd),
+t0 AS MATERIALIZED (
+  SELECT l.gid, l.chain, 0 AS t, l.n, l.copy, l."left", r."right"
+  FROM sr l JOIN sr r ON l.gid = r.gid AND l.chain = r.chain AND l.n = r.n AND l.copy = r.slot),
+{_moved('t1', 't0', 1, '1 + m.chain % 2')},
+{_moved('t2', 't1', 2, '3 + (s.t - 1) * 2 + m.chain % 2')},
+allw AS (
+  SELECT (gid * {AVOID_CHAINS} + chain) * 7 + t AS gid, n, copy, "left", "right"
+  FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)),
+{walked('allw')},
+asteps AS MATERIALIZED (SELECT gid AS kar_id, circular::INT::VARCHAR || ':' || head AS walk_id, circular, pos, node FROM walked),
+{CANON.replace('FROM steps', 'FROM asteps')},
+tries AS MATERIALIZED (
+  SELECT kar_id // {7 * AVOID_CHAINS} AS gid, CAST(kar_id // 7 % {AVOID_CHAINS} AS INTEGER) AS chain, kar_id % 7 AS t, count(*) AS walks,
+         sum(circular::INT) AS rings, sum(len(c)) AS rows, list(c::VARCHAR || circular::VARCHAR ORDER BY c::VARCHAR || circular::VARCHAR)::VARCHAR AS k
+  FROM canon GROUP BY kar_id),
+p0 AS (SELECT * FROM tries WHERE t = 0),
+p1 AS (SELECT x.gid, x.chain, min(x.t) AS t FROM tries x JOIN p0 USING (gid, chain) WHERE x.t IN (1, 2) AND x.k <> p0.k GROUP BY ALL),
+p2 AS (
+  SELECT x.gid, x.chain, min(x.t) AS t FROM tries x JOIN p0 USING (gid, chain) JOIN p1 USING (gid, chain)
+  JOIN tries y ON y.gid = p1.gid AND y.chain = p1.chain AND y.t = p1.t
+  WHERE x.t IN (3 + (p1.t - 1) * 2, 4 + (p1.t - 1) * 2) AND x.k <> p0.k AND x.k <> y.k GROUP BY ALL),
+taken AS (SELECT gid, chain, 0 AS t, 0 AS step FROM p0 UNION ALL SELECT gid, chain, t, 1 FROM p1 UNION ALL SELECT gid, chain, t, 2 FROM p2)"""
+
+
 def _with(*ctes: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(ctes)
 
@@ -325,4 +381,7 @@ QUERIES = {
         SELECT gid, CAST(chain AS INTEGER) AS chain, CAST(step AS INTEGER) AS step, n, least(x, y) AS a, greatest(x, y) AS b
         FROM (SELECT *, CASE WHEN y0 >= x THEN y0 + 1 ELSE y0 END AS y FROM xy)"""),
     "markov_chains": (markov_chains, None),
+    "self_avoiding_chains": (self_avoiding_chains, _with(CUSTOMER_STEPS, NXT, WIRING, AVOIDING, recursive=True) + """
+        SELECT t.gid, t.chain, CAST(t.step AS INTEGER) AS step, x.walks, CAST(x.rings AS BIGINT) AS rings, CAST(x.rows AS BIGINT) AS rows
+        FROM taken t JOIN tries x ON x.gid = t.gid AND x.chain = t.chain AND x.t = t.t"""),
 }

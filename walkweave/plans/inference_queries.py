@@ -167,6 +167,30 @@ def loose_junctions(spark, sf):
     return P.pair_loose_ends(_loose(spark, sf), seed=5)
 
 
+def pasted_graphs(spark, sf):
+    """Graphs whose loose ends were joined: number of junctions, their copies, and the loose copies that stay (none or one)."""
+    ext, _ = _external(spark, sf)
+    graphs = ext.withColumnRenamed("kar_id", "gid")
+    found = cut(P.pair_loose_ends(_loose(spark, sf), seed=5))
+    nodes = T.customer_walks(spark, sf).df.groupBy(F.col("kar_id").alias("gid"), F.abs("node").alias("node_id")).agg(F.count(F.lit(1)).alias("cn"))
+    edges, loose = G.paste_junctions(nodes, graphs, found, ["gid"])
+    made = found.groupBy("gid").agg(F.count(F.lit(1)).alias("junctions"))
+    before = graphs.filter("type <> 'LOO'").groupBy("gid").agg(F.sum("cn").alias("_b"))
+    after = edges.groupBy("gid").agg(F.sum("cn").alias("_a"))
+    left = loose.groupBy("gid").agg(F.sum("cn").alias("_l"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return graphs.select("gid").distinct().join(made, "gid", "left").join(before, "gid", "left").join(after, "gid", "left").join(left, "gid", "left").select(
+        "gid", zero("junctions").alias("junctions"), (zero("_a") - zero("_b")).alias("copies"), zero("_l").alias("loose"))
+
+
+def pasted_loose(spark, sf):
+    """The loose ends that are left."""
+    ext, _ = _external(spark, sf)
+    nodes = T.customer_walks(spark, sf).df.groupBy(F.col("kar_id").alias("gid"), F.abs("node").alias("node_id")).agg(F.count(F.lit(1)).alias("cn"))
+    _, loose = G.paste_junctions(nodes, ext.withColumnRenamed("kar_id", "gid"), P.pair_loose_ends(_loose(spark, sf), seed=5), ["gid"])
+    return loose.select("gid", "node_id", "orientation", "cn")
+
+
 def neighbor_separability(spark, sf):
     w, _ = _gid_wiring(spark, sf)
     out = neighbor_separable(w, T.genome(spark, sf), STARTS, NEIGHBORS, (-30_000, 50_000), seed=21)
@@ -252,6 +276,15 @@ rs AS (
   SELECT n.gid, n.walk_id, CAST(least(n.c, e.c) AS BIGINT) AS max_cn, least(n.c, e.c) * mass / w AS ampfrac
   FROM nfit n JOIN efit e USING (gid, walk_id) JOIN wt USING (gid) WHERE mass IS NOT NULL)"""
 
+#: Loose ends with one copy drawn away where a graph has an odd number of them.
+TRIMMED = f"""WITH RECURSIVE {CUSTOMER_STEPS}, {NXT}, {EXTERNAL},
+        le AS (SELECT kar_id AS gid, CAST(CASE WHEN n1 = 0 THEN n2 * 2 ELSE n1 * 2 + 1 END AS BIGINT) AS end_id, cn FROM ext WHERE type = 'LOO'),
+        lu AS (SELECT *, 1 - pow(1 - {sql_uniform(5, 'gid', 'end_id')}, 1.0::DOUBLE / cn) AS u FROM le),
+        lo AS (SELECT gid, sum(cn) % 2 AS odd, arg_min(end_id, (u, end_id)) AS gone FROM lu GROUP BY gid),
+        trimmed AS (
+          SELECT gid, end_id, CAST(cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END AS BIGINT) AS cn
+          FROM le JOIN lo USING (gid) WHERE cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END > 0)"""
+
 QUERIES = {
     "walk_scores": (walk_scores, f"{_scored(False)} SELECT kar_id, nll FROM scores"),
     "walk_scores_legacy": (walk_scores_legacy, f"{_scored(True)} SELECT kar_id, nll FROM scores"),
@@ -299,12 +332,24 @@ QUERIES = {
         SELECT gid, walk_id, max_cn, round(ampfrac, 9) AS ampfrac, round(max_cn * ampfrac, 9) AS score FROM rs"""),
     "peeled": (peeled, f"""{RINGS}
         SELECT kar_id AS gid, node_id, cn AS copies FROM nodes WHERE kar_id IN (SELECT gid FROM rs WHERE max_cn > 0)"""),
-    "loose_pairing": (loose_pairing, f"""WITH {CUSTOMER_STEPS}, {NXT}, {EXTERNAL},
-        le AS (SELECT kar_id AS gid, CAST(CASE WHEN n1 = 0 THEN n2 * 2 ELSE n1 * 2 + 1 END AS BIGINT) AS end_id, cn FROM ext WHERE type = 'LOO'),
-        lu AS (SELECT *, 1 - pow(1 - {sql_uniform(5, 'gid', 'end_id')}, 1.0::DOUBLE / cn) AS u FROM le),
-        lo AS (SELECT gid, sum(cn) % 2 AS odd, arg_min(end_id, (u, end_id)) AS gone FROM lu GROUP BY gid)
-        SELECT gid, end_id, CAST(cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END AS BIGINT) AS copies
-        FROM le JOIN lo USING (gid) WHERE cn - CASE WHEN odd = 1 AND end_id = gone THEN 1 ELSE 0 END > 0"""),
+    "loose_pairing": (loose_pairing, f"{TRIMMED} SELECT gid, end_id, cn AS copies FROM trimmed"),
     "loose_junctions": (loose_junctions, None),
+    "pasted_graphs": (pasted_graphs, f"""{TRIMMED},
+        same AS (SELECT gid, cn, count(*) AS k FROM trimmed GROUP BY ALL),
+        rest AS (SELECT gid, cn, row_number() OVER (PARTITION BY gid ORDER BY cn) AS i, count(*) OVER (PARTITION BY gid) AS m FROM same WHERE k % 2 = 1),
+        -- every number in neither set, or on one side of the first or the second
+        part AS (
+          SELECT DISTINCT gid, m, 0::BIGINT AS i, 0::BIGINT AS x, 0::BIGINT AS y, 0 AS nx, 0 AS ny FROM rest
+          UNION
+          SELECT p.gid, p.m, r.i, x + a * r.cn, y + b * r.cn, greatest(nx, abs(a)), greatest(ny, abs(b))
+          FROM part p JOIN rest r ON r.gid = p.gid AND r.i = p.i + 1 CROSS JOIN (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(a, b)),
+        fam AS (SELECT gid, m, max(nx + ny) AS f FROM part WHERE i = m AND x = 0 AND y = 0 GROUP BY ALL),
+        twos AS (SELECT gid, sum(k // 2) AS p, sum(k * cn) // 2 AS c FROM same GROUP BY gid)
+        SELECT g.gid, CAST(coalesce(p, 0) + coalesce(m, 0) - coalesce(f, 0) AS BIGINT) AS junctions, CAST(coalesce(c, 0) AS BIGINT) AS copies,
+               CAST(coalesce(odd, 0) AS BIGINT) AS loose
+        FROM (SELECT DISTINCT kar_id AS gid FROM ext) g LEFT JOIN twos USING (gid) LEFT JOIN fam USING (gid) LEFT JOIN lo USING (gid)"""),
+    "pasted_loose": (pasted_loose, f"""{TRIMMED}
+        SELECT gid, CAST(gone // 2 AS INTEGER) AS node_id, CASE WHEN gone % 2 = 0 THEN 'left' ELSE 'right' END AS orientation, 1::BIGINT AS cn
+        FROM lo WHERE odd = 1"""),
     "neighbor_separability": (neighbor_separability, None),
 }

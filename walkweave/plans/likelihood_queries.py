@@ -23,7 +23,7 @@ F1_SAMPLES = int(4 / SIGNIFICANCE)
 def node_map(spark, sf, which: str = "true"):
     """Simulated map with one tile per segment; ``which`` filters the walks."""
     walks, nodes = T.customer_walks(spark, sf), T.genome(spark, sf)
-    return K.simulate(walks.df.filter(which), nodes, _node_tiles(spark, sf), DEPTH, split=walks.split)
+    return K.simulate(walks.df.filter(which), nodes, _node_tiles(spark, sf), DEPTH, split=walks.split, longest=walks.longest)
 
 
 def _aligned(spark, sf):

@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "graph_queries", "contact_queries", "likelihood_queries", "distance_queries", "inference_queries", "training_queries",
+    "region_queries",
 )
 
 
