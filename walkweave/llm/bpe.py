@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -82,41 +83,52 @@ def distinct_words(docs: DataFrame, path: str, words: bool = True, text: str = "
     def encode(batches):
         tool = loaded(path, words)
         for batch in batches:
-            ids = [np.array([tool.specials[w]] if w in tool.specials else tool.pieces(w), "<u4") for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array([_varints(i) for i in ids], pa.binary())], ["word", "n", "ids"])
+            ids = [array("I", [tool.specials[w]] if w in tool.specials else tool.pieces(w)).tobytes() for w in batch.column("word").to_pylist()]
+            yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(encode, "word string, n long, ids binary")
 
 
-def _varints(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^28 in seven bits a byte, the lowest first."""
-    x = numbers.astype(np.int64)[:, None]
-    shifts = np.array([0, 7, 14, 21])
-    there = (shifts == 0) | (x >> shifts > 0)
-    return ((x >> shifts & 127) | np.where(x >> shifts + 7 > 0, 128, 0))[there].astype(np.uint8).tobytes()
-
-
-def _numbers(raw: bytes) -> np.ndarray:
-    """The numbers in ``_varints`` bytes."""
-    b = np.frombuffer(raw, np.uint8).astype(np.int64)
-    last = np.flatnonzero(b < 128)
+def _varints(numbers: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Numbers below 2^28 in seven bits a byte, the lowest first; one value for each part between ``bounds``."""
+    x = numbers.astype(np.uint32)
+    size = np.ones(len(x), np.int64)
+    for k in (7, 14, 21):
+        size += x >> k > 0
+    ends = np.cumsum(size)
+    out, start = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), ends - size
+    for k in range(4):
+        there = np.flatnonzero(size > k) if k else slice(None)
+        part = x[there] >> 7 * k
+        out[start[there] + k] = part & 127 | np.where(size[there] > k + 1, 128, 0).astype(np.uint32)
+    cuts = np.concatenate(([0], ends))[bounds].tolist()
+    return [out[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+
+
+def _numbers(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in the parts of ``_varints``, and the bounds of each part's numbers."""
+    b = np.frombuffer(b"".join(parts), np.uint8)
+    ended = b < 128
+    last = np.flatnonzero(ended)
     first = np.concatenate(([0], last[:-1] + 1)) if last.size else last
-    out = b[first] & 127
+    out = (b[first] & 127).astype(np.int64)
+    more = np.flatnonzero(last > first)
     for k in (1, 2, 3):
-        more = first + k <= last
-        out[more] |= (b[first[more] + k] & 127) << 7 * k
-    return out
+        more = more[first[more] + k <= last[more]]
+        out[more] |= (b[first[more] + k] & 127).astype(np.int64) << 7 * k
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return out, np.searchsorted(last, np.concatenate(([0], np.cumsum(sizes))))
 
 
 class Known:
     """The most frequent words: their numbers from 1 on, the commonest first, and their ids one after the other."""
 
     def __init__(self, words: list[str], ids: list[bytes]):
-        arrays = [_numbers(i) for i in ids]
         self.words = words
-        self.sizes = np.array([0, *map(len, arrays)], np.int64)
-        self.flat = np.concatenate([np.zeros(0, np.int64), *arrays]).astype("<u4")
+        self.sizes = np.array([0, *map(len, ids)], np.int64) // 4
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(ids), "<u4")
         self._numbers: dict[str, int] | None = None
 
     def numbers(self) -> dict[str, int]:
@@ -169,8 +181,9 @@ def _numbered(tool: Pretokens, known: dict[str, int], texts: list[str]):
 GAP_MARK = "\x00\n"
 
 
-def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(digest, ids): each distinct text of the column with its ids as little-endian unsigned 32-bit integers."""
+def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "text", hot_bytes: int = HOT_BYTES, decoded: bool = False) -> DataFrame:
+    """(digest, ids): each distinct text of the column with its ids as little-endian unsigned 32-bit integers; with ``decoded``
+    also the text that these ids decode to."""
     table = stored(distinct_words(docs, path, words, text), "words")
     known = docs.sparkSession.sparkContext.broadcast(_most_frequent(table, hot_bytes))
 
@@ -178,74 +191,120 @@ def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "t
         tool, squeeze, numbers = loaded(path, words), zstandard.ZstdCompressor(level=1), known.value.numbers()
         for batch in rows_of(batches):
             once = {_digest(t): t for t in texts_of(batch)}
-            packed = []
-            for found, rare in zip(*_numbered(tool, numbers, list(once.values())), strict=True):
-                body = _varints(found)
-                packed.append(squeeze.compress(len(body).to_bytes(8, "little") + body + GAP_MARK.join(rare).encode()))
+            found, rare = _numbered(tool, numbers, list(once.values()))
+            bodies = _varints(np.concatenate(found), np.cumsum([0, *map(len, found)]))
+            packed = [squeeze.compress(len(x).to_bytes(8, "little") + x + GAP_MARK.join(r).encode()) for x, r in zip(bodies, rare, strict=True)]
             yield pa.record_batch([pa.array(once.keys(), pa.binary()), pa.array(packed, pa.binary())], ["digest", "packed"])
 
-    def unpacked(raw: bytes, loosen) -> tuple[bytes, list[str]]:
+    def unpacked(raw: bytes, loosen) -> tuple[bytes, bytes]:
         whole = loosen.decompress(raw)
         size = 8 + int.from_bytes(whole[:8], "little")
-        rest = whole[size:].decode()
-        return whole[8:size], rest.split(GAP_MARK) if rest else []
+        return whole[8:size], whole[size:]
 
     def rare_words(batches):
         loosen = zstandard.ZstdDecompressor()
         for batch in rows_of(batches):
             keys, names, gaps = [], [], []
             for key, raw in zip(batch.column("digest").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                at: dict[str, list[int]] = {}
-                for k, w in enumerate(unpacked(raw, loosen)[1]):
-                    at.setdefault(w, []).append(k)
+                rest = unpacked(raw, loosen)[1]
+                at: dict[str, array] = {}
+                for k, w in enumerate(rest.decode().split(GAP_MARK) if rest else ()):
+                    at.setdefault(w, array("I")).append(k)
                 keys += [key] * len(at)
                 names += at.keys()
-                gaps += [_varints(np.array(g)) for g in at.values()]
+                gaps += [g.tobytes() for g in at.values()]
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(names, pa.string()), pa.array(gaps, pa.binary())],
                                   ["digest", "word", "gaps"])
 
     def filled(batches):
         loosen, before = zstandard.ZstdDecompressor(), None
-        for batch in rows_of(batches):
-            keys, rows = [], []
-            for key, raw, found in zip(*(batch.column(c).to_pylist() for c in ("digest", "packed", "found")), strict=True):
+        pieces = Pieces(path) if decoded else None
+        for batch in rows_of(batches, 1024):
+            keys, bodies, found = [], [], []
+            for row, (key, raw) in enumerate(zip(batch.column("digest").to_pylist(), batch.column("packed").to_pylist(), strict=True)):
                 if key != before:  # copies of a text follow each other
                     keys.append(key)
-                    rows.append((_numbers(unpacked(raw, loosen)[0]), [(_numbers(f["gaps"]), _numbers(f["ids"])) for f in found or ()]))
+                    bodies.append(unpacked(raw, loosen)[0])
+                    found.append(batch.column("found")[row].as_py() or ())
                 before = key
-                if sum(len(r[0]) for r in rows[-64:]) > TOKENS or len(rows) >= 64:
-                    yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(_filled(rows, known.value), pa.binary())], ["digest", "ids"])
-                    keys, rows = [], []
-            if rows:
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(_filled(rows, known.value), pa.binary())], ["digest", "ids"])
+                if bodies and (sum(map(len, bodies[-256:])) > TOKENS or len(bodies) >= 256):
+                    yield _texts(keys, _filled(bodies, found, known.value), pieces)
+                    keys, bodies, found = [], [], []
+            if bodies:
+                yield _texts(keys, _filled(bodies, found, known.value), pieces)
 
     # Both uses take whole rows of the exchanged texts, so that they read one exchange.
     texts = docs.select(F.col(text).alias("text")).mapInArrow(split, "digest binary, packed binary").repartition("digest")
     rare = texts.mapInArrow(rare_words, "digest binary, word string, gaps binary")
     met = rare.join(table.select("word", "ids").hint("merge"), "word").groupBy("digest").agg(F.collect_set(F.struct("gaps", "ids")).alias("found"))
     whole = texts.join(met.hint("merge"), "digest", "left").sortWithinPartitions("digest")
-    return whole.select("digest", "packed", "found").mapInArrow(filled, "digest binary, ids binary")
-
-
-def _filled(rows: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], known: Known) -> list[bytes]:
-    """Ids of texts from the numbers of their words; the words of the gaps are numbered on for the moment."""
-    flats, sizes, numbers = [known.flat], [known.sizes], []
-    count = len(known.sizes)
-    for found, gaps in rows:
-        at = np.flatnonzero(found == 0)
-        for k, ids in gaps:
-            found[at[k]] = count
-            flats.append(ids.astype("<u4"))
-            sizes.append(np.array([len(ids)]))
-            count += 1
-        numbers.append(found)
-    flat, size, number = np.concatenate(flats), np.concatenate(sizes), np.concatenate(numbers)
-    each = size[number]
+    return whole.select("digest", "packed", "found").mapInArrow(filled, "digest binary, ids binary" + (", decoded string" if decoded else ""))
+
+
+def _filled(bodies: list[bytes], found: list, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts, one after the other, from the numbers of their words and the ids of the words in their gaps; and bounds."""
+    number, bounds = _numbers(bodies)
+    each, start = known.sizes[number], known.starts[number]
+    gaps = np.flatnonzero(number == 0)
+    first = np.searchsorted(gaps, bounds[:-1]).tolist()
+    flats, count, place = [], 0, []
+    for k, some in enumerate(found):
+        for one in some:
+            ids = np.frombuffer(one["ids"], "<u4")
+            at = gaps[first[k] + np.frombuffer(one["gaps"], "<u4").astype(np.int64)]
+            each[at] = len(ids)
+            start[at] = count  # in the ids of gaps
+            count += len(ids)
+            flats.append(ids)
+            place.append(at)
     ends = np.cumsum(each)
     total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat((np.cumsum(size) - size)[number] - (ends - each), each) + np.arange(total)]
-    upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, numbers)])].tolist()
-    return [ids[a:b].tobytes() for a, b in zip(upto, upto[1:])]
+    begin = ends - each
+    source = np.repeat(start - begin, each) + np.arange(total)
+    if place:
+        at = np.sort(np.concatenate(place))
+        size = each[at]
+        inside = np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own = source[inside]
+        source[inside] = 0
+    ids = known.flat[source] if len(known.flat) else np.zeros(total, "<u4")
+    if place:
+        ids[inside] = np.concatenate(flats)[own]
+    return ids, np.concatenate(([0], ends))[bounds]
+
+
+class Pieces:
+    """The pieces of a vocabulary by id, and how its tokenizer puts them together."""
+
+    def __init__(self, path: str):
+        self.tokenizer = loaded(path, True).tokenizer
+        names = [self.tokenizer.id_to_token(i) for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.names = pa.array(names, pa.large_string())
+        self.there = pc.is_valid(self.names).to_numpy(zero_copy_only=False)
+        self.whole = bool(self.there.all())
+
+    def text(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The text of each part of the ids: every id is joined to its piece; ids outside the vocabulary are skipped."""
+        if len(ids) and (not self.whole or int(ids.max()) >= len(self.names)):
+            kept = ids < len(self.names)
+            kept[kept] = self.there[ids[kept]]
+            bounds = np.concatenate(([0], np.cumsum(kept)))[bounds]
+            ids = ids[kept]
+        joined = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), self.names.take(pa.array(ids)))
+        if self.tokenizer.decoder is None:
+            return pc.binary_join(joined, pa.scalar(" ", pa.large_string())).cast(pa.string())
+        back = {ord(c): b for b, c in byte_alphabet().items()}
+        texts = pc.binary_join(joined, pa.scalar("", pa.large_string())).to_pylist()
+        return pa.array([t.translate(back).encode("latin-1").decode("utf-8", "replace") for t in texts], pa.string())
+
+
+def _texts(keys: list[bytes], filled: tuple[np.ndarray, np.ndarray], pieces: Pieces | None) -> pa.RecordBatch:
+    ids, bounds = filled
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(bounds.astype(np.int64) * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+    columns = [pa.array(keys, pa.binary()), raw.cast(pa.binary())]
+    if pieces is None:
+        return pa.record_batch(columns, ["digest", "ids"])
+    return pa.record_batch([*columns, pieces.text(ids, bounds)], ["digest", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, path: str, words: bool = True, doc_id: str = "doc_id", text: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -276,38 +335,21 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "deco
     rest = [f for f in encoded.schema.fields if f.name != decoded]
 
     def joined(batches):
-        tokenizer = loaded(path, True).tokenizer
-        names = [tokenizer.id_to_token(i) for i in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
-        pieces = pa.array(names, pa.string())
-        there = pc.is_valid(pieces).to_numpy(zero_copy_only=False)
-        for batch in rows_of(batches, 64):
+        pieces = Pieces(path)
+        for batch in rows_of(batches, 256):
             texts: list[str | None] = []
-            flat, bounds = [], [0]
+            parts, bounds = [], [0]
             for raw in (batch.column(ids)[k].as_buffer() for k in range(batch.num_rows)):
-                one = np.frombuffer(raw, "<u4") if raw is not None else np.zeros(0, "<u4")
-                one = one[one < len(names)]
-                one = one[there[one]]
-                flat.append(one)
-                bounds.append(bounds[-1] + len(one))
+                parts.append(np.frombuffer(raw, "<u4") if raw is not None else np.zeros(0, "<u4"))
+                bounds.append(bounds[-1] + len(parts[-1]))
                 if bounds[-1] > TOKENS:
-                    texts += _text(pieces, flat, bounds, tokenizer)
-                    flat, bounds = [], [0]
-            texts += _text(pieces, flat, bounds, tokenizer)
+                    texts += pieces.text(np.concatenate(parts), np.array(bounds)).to_pylist()
+                    parts, bounds = [], [0]
+            if parts:
+                texts += pieces.text(np.concatenate(parts), np.array(bounds)).to_pylist()
             null = pc.is_null(batch.column(ids)).to_pylist()
             found = pa.array([None if n else t for n, t in zip(null, texts, strict=True)], pa.string())
             yield pa.record_batch([batch.column(f.name) for f in rest] + [found], [f.name for f in rest] + [decoded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return encoded.select(*[f"`{f.name}`" for f in rest]).mapInArrow(joined, f"{fields}, `{decoded}` string")
-
-
-def _text(pieces: pa.Array, flat: list[np.ndarray], bounds: list[int], tokenizer) -> list[str]:
-    if not flat:
-        return []
-    lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pieces.cast(pa.large_string()).take(pa.array(np.concatenate(flat))))
-    if tokenizer.decoder is None:
-        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
-    back = {ord(c): b for b, c in byte_alphabet().items()}
-    return [t.translate(back).encode("latin-1").decode("utf-8", "replace") for t in pc.binary_join(lists, pa.scalar("", pa.large_string())).to_pylist()]
-
-

@@ -88,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
-    found = bpe.decode(bpe.encoded_texts(docs, path), path).select(
+    found = bpe.encoded_texts(docs, path, decoded=True).select(
         "digest", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
     return bpe.per_document(docs, found)
