@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -36,6 +37,14 @@ def test_base_spans(text):
 def test_long_runs_end():
     assert personal.base_spans("a" * 20000 + "@" + "b" * 20000) == []
     assert personal.base_spans("1" * 20000 + "." + "0" * 20000) == []
+    model = personal.estimate([("name", (0, 1, 0, 1, 0), 3)])
+    for text in ("7" * 1_000_000, "7" * 300_000 + ".7" * 100_000, "1.2.3." * 100_000 + "x", "a.b" * 300_000 + " at dot", "+1" * 300_000, "@" * 300_000, "12-" * 300_000):
+        start = time.time()
+        personal.all_spans(text, model)
+        assert time.time() - start < 5, text[:9]
+    start = time.time()
+    spans = personal.all_spans("Anna Berg 10.1.2.3 (501) 555-7713 " * 20_000, model)
+    assert len(spans) >= 20_000 and time.time() - start < 15
 
 
 TRUE = ["contact me at jo.doe@mail.com today", "server ip 83.229.25.121 is up", "pay with card 4111 1111 1111 1111 now", "call +1 (501) 555-7713 soon",

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from walkweave.llm.decontamination import WuManber, contamination
-from walkweave.llm.licenses import Automaton, license_scan, scan
+from walkweave.llm.licenses import TEMPLATES, Automaton, license_scan, scan
 from walkweave.llm.queries import QUERIES
 from walkweave.llm.top_k import threshold_search, top_k
 from walkweave.llm.words import words
@@ -130,6 +130,74 @@ def test_license_scan(spark, odd):
     assert by[54].labels == [] and by[55].labels == [] and by[56].labels == [] and 0 < by[56].score < 1
 
 
+def expansion(markup):
+    """A template as a regular expression over words that each end in a space."""
+    out, pattern = re.split(r"(\[\[|\]\]|\{\{\d+-\d+\}\})", markup), ""
+    for token in out:
+        if token == "[[":
+            pattern += "(?:"
+        elif token == "]]":
+            pattern += ")?"
+        elif token.startswith("{{"):
+            low, high = token[2:-2].split("-")
+            pattern += f"(?:[^ ]+ ){{{low},{high}}}"
+        else:
+            pattern += "".join(re.escape(w) + " " for w in token.split())
+    return re.compile(pattern)
+
+
+def written(markup, rng):
+    """Some text that a template may stand for, with an accident now and then."""
+    words, keep = [], [True]
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^ \[\]{}]+", markup):
+        if token == "[[":
+            keep.append(keep[-1] and rng.random() < 0.6)
+        elif token == "]]":
+            keep.pop()
+        elif keep[-1] and token.startswith("{{"):
+            low, high = map(int, token[2:-2].split("-"))
+            words += rng.choices(["acme", "inc", "the", "license"], k=rng.randint(low, high))
+        elif keep[-1]:
+            words.append(token)
+    if rng.random() < 0.4:
+        at = rng.randrange(len(words))
+        words[at:at + rng.randint(0, 1)] = rng.choices(["not", "license", "the"], k=rng.randint(0, 1))
+    return words
+
+
+def longest_match(pattern, words):
+    """Words of the longest prefix that the whole expression matches."""
+    return max((k for k in range(len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[:k]))), default=None)
+
+
+def test_automata_against_regular_expressions():
+    rng = random.Random(11)
+    accepted = 0
+    for label, markup in TEMPLATES + (("x", "a b [[c [[d]] {{0-2}}]] e {{1-2}} [[e]] f"), ("y", "a b {{0-3}} [[a b]] c")):
+        pattern, automaton = expansion(markup), Automaton(label, markup)
+        for _ in range(60):
+            text = written(markup, rng) + rng.choices(["of", "the", "license", "f", "e", "c"], k=rng.randint(0, 3))
+            want = longest_match(pattern, text)
+            assert automaton.run([w.encode() for w in text])[0] == want, (markup, text)
+            accepted += want is not None
+    assert accepted > 500
+
+
+def test_usual_notices():
+    notices = {
+        "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "lgpl-2-1": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+                    "either version 2.1 of the License, or (at your option) any later version.",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-nc": "licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
+    }
+    for label, text in notices.items():
+        found = scan(text.encode())
+        assert label in found["labels"] and found["score"] == 1, label
+    assert scan(b"modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 4")["labels"] == []
+
+
 def test_license_scan_empty(none):
     assert license_scan(none).collect() == []
     assert scan(b"")["labels"] == []

@@ -116,7 +116,8 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = (64, 128, 256, 512
 
     A document is the ids of its text and ``end_id``; every id lies in one piece. Partitions are packed by themselves,
     ``block`` documents at a time, so nothing is shuffled and a task holds the short rests of a block only. All windows
-    end full, or at a power of two at the end of a partition. Null and empty texts are the end id alone; repeated rows
+    end full, or at a power of two at the end of a partition: where documents are cut, and into how many pieces, depends on
+    the partitions; that pieces cover each document once does not. Further columns are ignored, whatever their names. Null and empty texts are the end id alone; repeated rows
     and repeated or null ids are documents of their own; an empty table gives an empty result.
     """
 

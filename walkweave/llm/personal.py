@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ from .common import rows_of
 
 #: The base kinds in their order, with their patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A run of digits that fails at its start fails at every later place of it, so only starts of runs are tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
@@ -24,7 +27,7 @@ KINDS = (*BASE, "name", "secret", "ssn")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Candidates beside the base: written-out addresses, national phone numbers, credentials, social security numbers, names.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+")
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?i:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?([0-9A-Za-z+/_-]{16,})")
@@ -198,11 +201,16 @@ def all_spans(text: str, model: SpanModel, accept: float = 0.5) -> list[tuple[st
     base = base_spans(text)
     out = [(k, a, b, model.score(k, votes(text, k, a, b, True)), True) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    upto = 0  # end of the candidates taken so far, which come by their starts
     for k, a, b in sorted(more_candidates(text), key=lambda x: (x[1], -x[2], x[0])):
+        before = bisect_left(starts, b)
+        if a < upto or before and ends[before - 1] > a:
+            continue
         score = model.score(k, votes(text, k, a, b, False))
-        if score >= accept and not any(s < b and a < e for s, e in taken):
+        if score >= accept:
             out.append((k, a, b, score, False))
-            taken.append((a, b))
+            upto = b
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
