@@ -61,8 +61,8 @@ def _parts(tool: Pretokens, texts: list[str]) -> tuple[list[str], list[int], dic
 
 
 def distinct_words(docs: DataFrame, path: str, words: bool = True, text: str = "text") -> DataFrame:
-    """(word, n, ids): every distinct word of the column with its number of places and its ids (little-endian), each word
-    encoded once. A special string is a word of its own."""
+    """(word, n, ids): every distinct word of the column with its number of places and its ids (little-endian, of two bytes
+    where the vocabulary allows), each word encoded once. A special string is a word of its own."""
 
     def count(batches):
         tool, sums = loaded(path, words), {}
@@ -83,13 +83,28 @@ def distinct_words(docs: DataFrame, path: str, words: bool = True, text: str = "
     def encode(batches):
         tool = loaded(path, words)
         for batch in batches:
-            ids = [array("I", [tool.specials[w]] if w in tool.specials else tool.pieces(w)).tobytes() for w in batch.column("word").to_pylist()]
+            code = "H" if _width(tool).itemsize == 2 else "I"
+            ids = [array(code, [tool.specials[w]] if w in tool.specials else tool.pieces(w)).tobytes() for w in batch.column("word").to_pylist()]
             yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(encode, "word string, n long, ids binary")
 
 
+def _width(tool: Pretokens) -> np.dtype:
+    return np.dtype("<u2" if tool.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def _short(number: int) -> bytes:
+    """One number as ``_varints`` writes it."""
+    out = bytearray()
+    while number > 127:
+        out.append(number & 127 | 128)
+        number >>= 7
+    out.append(number)
+    return bytes(out)
+
+
 def _varints(numbers: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Numbers below 2^28 in seven bits a byte, the lowest first; one value for each part between ``bounds``."""
     x = numbers.astype(np.uint32)
@@ -124,11 +139,11 @@ def _numbers(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """The most frequent words: their numbers from 1 on, the commonest first, and their ids one after the other."""
 
-    def __init__(self, words: list[str], ids: list[bytes]):
-        self.words = words
-        self.sizes = np.array([0, *map(len, ids)], np.int64) // 4
+    def __init__(self, words: list[str], ids: list[bytes], width: np.dtype):
+        self.words, self.width = words, width
+        self.sizes = np.array([0, *map(len, ids)], np.int64) // width.itemsize
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(ids), "<u4")
+        self.flat = np.frombuffer(b"".join(ids), width)
         self._numbers: dict[str, int] | None = None
 
     def numbers(self) -> dict[str, int]:
@@ -137,7 +152,7 @@ class Known:
         return self._numbers
 
 
-def _most_frequent(table: DataFrame, limit: int) -> Known:
+def _most_frequent(table: DataFrame, limit: int, width: np.dtype) -> Known:
     """Words by steps of their counts, as many steps as stay within ``limit`` bytes of words and ids."""
     stepped = table.withColumn("step", F.floor(F.log2("n") * 8)).withColumn("size", F.octet_length("word") + F.octet_length("ids"))
     least, total = None, 0
@@ -147,9 +162,9 @@ def _most_frequent(table: DataFrame, limit: int) -> Known:
             break
         least = r["step"]
     if least is None:
-        return Known([], [])
+        return Known([], [], width)
     top = stepped.where(F.col("step") >= least).select("word", "ids", "n").toArrow().sort_by([("n", "descending")])
-    return Known(top.column("word").to_pylist(), top.column("ids").to_pylist())
+    return Known(top.column("word").to_pylist(), top.column("ids").to_pylist(), width)
 
 
 def _numbered(tool: Pretokens, known: dict[str, int], texts: list[str]):
@@ -185,7 +200,7 @@ def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "t
     """(digest, ids): each distinct text of the column with its ids as little-endian unsigned 32-bit integers; with ``decoded``
     also the text that these ids decode to."""
     table = stored(distinct_words(docs, path, words, text), "words")
-    known = docs.sparkSession.sparkContext.broadcast(_most_frequent(table, hot_bytes))
+    known = docs.sparkSession.sparkContext.broadcast(_most_frequent(table, hot_bytes, _width(loaded(path, words))))
 
     def split(batches):
         tool, squeeze, numbers = loaded(path, words), zstandard.ZstdCompressor(level=1), known.value.numbers()
@@ -207,12 +222,12 @@ def encoded_texts(docs: DataFrame, path: str, words: bool = True, text: str = "t
             keys, names, gaps = [], [], []
             for key, raw in zip(batch.column("digest").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 rest = unpacked(raw, loosen)[1]
-                at: dict[str, array] = {}
+                at: dict[str, bytearray] = {}
                 for k, w in enumerate(rest.decode().split(GAP_MARK) if rest else ()):
-                    at.setdefault(w, array("I")).append(k)
+                    at.setdefault(w, bytearray()).extend(_short(k))
                 keys += [key] * len(at)
                 names += at.keys()
-                gaps += [g.tobytes() for g in at.values()]
+                gaps += map(bytes, at.values())
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(names, pa.string()), pa.array(gaps, pa.binary())],
                                   ["digest", "word", "gaps"])
 
@@ -250,8 +265,9 @@ def _filled(bodies: list[bytes], found: list, known: Known) -> tuple[np.ndarray,
     flats, count, place = [], 0, []
     for k, some in enumerate(found):
         for one in some:
-            ids = np.frombuffer(one["ids"], "<u4")
-            at = gaps[first[k] + np.frombuffer(one["gaps"], "<u4").astype(np.int64)]
+            ids = np.frombuffer(one["ids"], known.width)
+            some_gaps = np.frombuffer(one["gaps"], np.uint8) if one["gaps"].isascii() else _numbers([one["gaps"]])[0]
+            at = gaps[first[k] + some_gaps.astype(np.int64)]
             each[at] = len(ids)
             start[at] = count  # in the ids of gaps
             count += len(ids)
@@ -267,10 +283,10 @@ def _filled(bodies: list[bytes], found: list, known: Known) -> tuple[np.ndarray,
         inside = np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         own = source[inside]
         source[inside] = 0
-    ids = known.flat[source] if len(known.flat) else np.zeros(total, "<u4")
+    ids = known.flat[source] if len(known.flat) else np.zeros(total, known.width)
     if place:
         ids[inside] = np.concatenate(flats)[own]
-    return ids, np.concatenate(([0], ends))[bounds]
+    return ids.astype("<u4"), np.concatenate(([0], ends))[bounds]
 
 
 class Pieces:
