@@ -56,8 +56,8 @@ def test_noisy_maps_against_numpy(spark):
     cells = [(i, j) for i in (1, 40, 70, 150) for j in (70, 150) if i <= j]
     values = {(kar, i, j): float(rng.uniform(1, 3)) for kar in (0, 1) for i, j in cells}
     pixels = spark.createDataFrame([(*k, v) for k, v in values.items()], "kar_id long, i int, j int, value double")
-    pairs = spark.createDataFrame([(5, 0, 1)], "pair_id long, kar_a long, kar_b long")
-    means = D.pair_means(pairs, pixels, tiles, 2, D.SYNTHETIC, "kar_id").collect()
+    pairs = spark.createDataFrame([(5, 0, 1), (6, 1, 1), (7, 8, 9)], "pair_id long, kar_a long, kar_b long")
+    means = D.pair_means(pairs.filter("pair_id = 5"), pixels, tiles, 2, D.SYNTHETIC, "kar_id").collect()
     a, b = (np.array([r[c] for r in means]) for c in "ab")
     wrong = 0
     for source, m in enumerate((a, b)):
@@ -65,8 +65,9 @@ def test_noisy_maps_against_numpy(spark):
         lp = lambda v: 2 * np.log(2 / (2 + v)) + x * np.log(v / (2 + v))  # noqa: B023, E731
         llr = (lp(a) - lp(b)).sum(1)
         wrong += ((llr < 0) if source == 0 else (llr > 0)).mean() / 2
-    got = D.contact_separability(pairs, pixels, tiles, 2, 4000, seed=8).collect()
-    assert len(got) == 1 and 0.02 < wrong < 0.5 and abs(got[0].error_rate - wrong) < 0.03
+    got = {r.pair_id: r.error_rate for r in D.contact_separability(pairs, pixels, tiles, 2, 4000, seed=8).collect()}
+    assert got[6] == got[7] == 0.5  # equal maps, and two without contacts
+    assert len(got) == 3 and 0.02 < wrong < 0.5 and abs(got[5] - wrong) < 0.03
 
 
 def test_neighbors_of_several_starts(spark, sf, monkeypatch):

@@ -183,14 +183,6 @@ def pasted_graphs(spark, sf):
         "gid", zero("junctions").alias("junctions"), (zero("_a") - zero("_b")).alias("copies"), zero("_l").alias("loose"))
 
 
-def pasted_loose(spark, sf):
-    """The loose ends that are left."""
-    ext, _ = _external(spark, sf)
-    nodes = T.customer_walks(spark, sf).df.groupBy(F.col("kar_id").alias("gid"), F.abs("node").alias("node_id")).agg(F.count(F.lit(1)).alias("cn"))
-    _, loose = G.paste_junctions(nodes, ext.withColumnRenamed("kar_id", "gid"), P.pair_loose_ends(_loose(spark, sf), seed=5), ["gid"])
-    return loose.select("gid", "node_id", "orientation", "cn")
-
-
 def neighbor_separability(spark, sf):
     w, _ = _gid_wiring(spark, sf)
     out = neighbor_separable(w, T.genome(spark, sf), STARTS, NEIGHBORS, (-30_000, 50_000), seed=21)
@@ -348,8 +340,5 @@ QUERIES = {
         SELECT g.gid, CAST(coalesce(p, 0) + coalesce(m, 0) - coalesce(f, 0) AS BIGINT) AS junctions, CAST(coalesce(c, 0) AS BIGINT) AS copies,
                CAST(coalesce(odd, 0) AS BIGINT) AS loose
         FROM (SELECT DISTINCT kar_id AS gid FROM ext) g LEFT JOIN twos USING (gid) LEFT JOIN fam USING (gid) LEFT JOIN lo USING (gid)"""),
-    "pasted_loose": (pasted_loose, f"""{TRIMMED}
-        SELECT gid, CAST(gone // 2 AS INTEGER) AS node_id, CASE WHEN gone % 2 = 0 THEN 'left' ELSE 'right' END AS orientation, 1::BIGINT AS cn
-        FROM lo WHERE odd = 1"""),
     "neighbor_separability": (neighbor_separability, None),
 }
