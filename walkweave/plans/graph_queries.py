@@ -257,7 +257,7 @@ draws AS MATERIALIZED (
          {sql_draw(7, 's', 'gid', 'n', 'copy')} AS o
   FROM wiring CROSS JOIN range({SAMPLES}) r(s)),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gid, sample, n ORDER BY o, copy) AS slot FROM draws),
-sampled AS (
+sampled AS MATERIALIZED (
   SELECT l.gid, CAST(l.sample AS INTEGER) AS sample, l.n, l.copy, l."left", r."right"
   FROM ranked l JOIN ranked r ON l.gid = r.gid AND l.sample = r.sample AND l.n = r.n AND l.copy = r.slot)"""
 
