@@ -285,16 +285,31 @@ xy AS (
   FROM picked p JOIN ranges r ON r.gid = p.gid AND p.pick <= r.hi AND p.pick > r.hi - r.cn)"""
 
 
-def _moved(out: str, src: str, step: int, attempt: str) -> str:
+def _moved(out: str, src: str, step: int, attempt: str, attempts: int = AVOID_ATTEMPTS) -> str:
     """Every row of ``src`` after both moves of its chain at ``step``; ``attempt`` numbers the result within the chain."""
     return f"""
 {out} AS MATERIALIZED (
   SELECT s.gid, s.chain, {attempt} AS t, s.n, s.copy, s."left", CASE WHEN p.gid IS NULL THEN s."right" ELSE p."right" END AS "right"
-  FROM {src} s JOIN mv m ON m.gid = s.gid AND m.chain // {AVOID_ATTEMPTS} = s.chain AND m.step = {step}
+  FROM {src} s JOIN mv m ON m.gid = s.gid AND m.chain // {attempts} = s.chain AND m.step = {step}
   LEFT JOIN {src} p ON p.gid = s.gid AND p.chain = s.chain AND p.t = s.t AND p.n = s.n AND s.n = m.n
     AND p.copy = CASE s.copy WHEN m.a THEN m.b WHEN m.b THEN m.a END)"""
 
 
+#: The states of two chains of three moves, and their walks.
+CHAINING = f"""
+{MOVES},
+mv AS MATERIALIZED (
+  SELECT gid, chain, step, n, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT *, CASE WHEN y0 >= x THEN y0 + 1 ELSE y0 END AS y FROM xy)),
+s0 AS MATERIALIZED (
+  SELECT w.gid, c.chain, 0 AS t, w.n, w.copy, w."left", w."right" FROM wiring w JOIN (SELECT DISTINCT gid, chain FROM mv) c ON c.gid = w.gid),
+{_moved('s1', 's0', 1, '1', 1)},
+{_moved('s2', 's1', 2, '2', 1)},
+{_moved('s3', 's2', 3, '3', 1)},
+allw AS (
+  SELECT (gid * 2 + chain) * 4 + t AS gid, n, copy, "left", "right"
+  FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)),
+{walked('allw')}"""
+
 #: All states that two steps of two attempts can reach (1 + 2 + 4 a chain), their karyotypes, and the first unseen of each step.
 AVOIDING = f"""
 {MOVES.replace('range(2) a(c)', f'range({AVOID_CHAINS * AVOID_ATTEMPTS}) a(c)').replace('range(1, 4) b(t)', f'range(1, {AVOID_STEPS + 1}) b(t)')
@@ -380,7 +395,10 @@ QUERIES = {
     "markov_moves": (markov_moves, _with(CUSTOMER_STEPS, NXT, WIRING, MOVES) + """
         SELECT gid, CAST(chain AS INTEGER) AS chain, CAST(step AS INTEGER) AS step, n, least(x, y) AS a, greatest(x, y) AS b
         FROM (SELECT *, CASE WHEN y0 >= x THEN y0 + 1 ELSE y0 END AS y FROM xy)"""),
-    "markov_chains": (markov_chains, None),
+    "markov_chains": (markov_chains, _with(CUSTOMER_STEPS, NXT, WIRING, CHAINING, recursive=True) + """
+        SELECT gid // 8 AS gid, CAST(gid // 4 % 2 AS INTEGER) AS chain, CAST(gid % 4 AS INTEGER) AS step, count(*) AS walks,
+               CAST(sum(circular::INT) AS BIGINT) AS rings, CAST(sum(n) AS BIGINT) AS rows
+        FROM (SELECT gid, circular, head, count(*) AS n FROM walked GROUP BY ALL) GROUP BY gid"""),
     "self_avoiding_chains": (self_avoiding_chains, _with(CUSTOMER_STEPS, NXT, WIRING, AVOIDING, recursive=True) + """
         SELECT t.gid, t.chain, CAST(t.step AS INTEGER) AS step, x.walks, CAST(x.rings AS BIGINT) AS rings, CAST(x.rows AS BIGINT) AS rows
         FROM taken t JOIN tries x ON x.gid = t.gid AND x.chain = t.chain AND x.t = t.t"""),
