@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from walkweave.functions.rand import sql_draw
 from walkweave.operators import training as TR
 from walkweave.plans import tables as T
 from walkweave.plans.oracle import CONTACTS
@@ -123,7 +124,15 @@ QUERIES = {
         b AS (SELECT *, CAST(least(floor((ln(p) - lo) / (hi - lo) * 20) + 1, 20) AS INTEGER) AS tranche FROM n CROSS JOIN m)
         SELECT tranche, widthprod, round(avg(p) * 1e9, 8) AS mexp, round(stddev_samp(d) / avg(p), 7) AS err, round(avg(d) * 1e9, 8) AS mdat
         FROM b GROUP BY tranche, widthprod"""),
-    "restored_zeros": (restored_zeros, None),
+    "restored_zeros": (restored_zeros, f"""WITH {CONTACTS}, {GEO},
+        kept AS (SELECT dist, widthprod, any_value(num) - count(*) AS zeros FROM geo GROUP BY ALL),
+        drawn AS (SELECT * FROM geo ORDER BY {sql_draw(1, 'i', 'j')}, i, j LIMIT {SAMPLE}),
+        share AS (SELECT least(1.0::DOUBLE, {SAMPLE}::DOUBLE / count(*)) AS f FROM geo),
+        back AS (
+          SELECT dist, unnest(range(CAST(floor(zeros * f) AS BIGINT))) AS k
+          FROM (SELECT DISTINCT dist, widthprod FROM drawn) JOIN kept USING (dist, widthprod) CROSS JOIN share WHERE floor(zeros * f) > 0)
+        SELECT dist, count(*) AS pixels, sum(value) AS value
+        FROM (SELECT dist, value::DOUBLE AS value FROM drawn UNION ALL SELECT dist, 0.0 FROM back) GROUP BY dist"""),
     "fitted_decay": (fitted_decay, None),
     "dispersion": (dispersion, None),
 }
