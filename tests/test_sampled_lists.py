@@ -71,3 +71,10 @@ def test_graphs_stay_whole_over_batches():
 
 def test_whole_queries_take_the_short_way(spark, sf):
     assert G.largest_wiring(GQ._external(spark, sf)[0], ["kar_id"]) <= TV.LOCAL_ROWS
+
+
+def test_known_sizes_spare_the_checkpoint(monkeypatch, wired):
+    w, largest = wired
+    rows = TV.traverse(w).count()
+    monkeypatch.setattr(TV, "cut", lambda df: pytest.fail("rows of graphs that fit a task are written"))
+    assert TV.traverse(w, largest=largest).count() == rows
