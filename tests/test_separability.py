@@ -4,12 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from walkweave.functions.rand import numpy_uniform, uniform
+from walkweave.functions.rand import draw, numpy_draw, numpy_uniform, numpy_xxhash64, uniform
+from walkweave.operators import contact as K
 from walkweave.operators import distance as D
+from walkweave.operators import neighbors as N
 from walkweave.operators import reads as R
 from walkweave.plans import distance_queries as DQ
 from walkweave.plans import inference_queries as IQ
 from walkweave.plans import pipelines as PL
+from walkweave.plans import tables as T
+from walkweave.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +93,31 @@ def test_neighbors_of_several_starts(spark, sf, monkeypatch):
         per_graph.setdefault(r.kar_a // 9, set()).add(r.kar_a)
     assert max(map(len, per_graph.values())) == 3
     assert {r.kar_id for r in steps.select("kar_id").distinct().collect()} >= {k for r in rows for k in (r.kar_a, r.kar_b)}
+
+
+def test_numpy_draws_and_hashes_are_sparks(spark):
+    rows = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * -7 + 3).alias("b"))
+    got = rows.select("a", "b", F.xxhash64("a", "b").alias("h"), draw(5, F.lit(0), F.col("a"), F.lit(2)).alias("d")).toPandas()
+    assert (numpy_xxhash64(got.a.to_numpy(), got.b.to_numpy()) == got.h).all()
+    assert (numpy_draw(5, 0, got.a.to_numpy(), 2) == got.d).all()
+
+
+def test_neighbors_made_inside_tasks_are_those_of_rows(spark, sf):
+    wiring, genome = cut(IQ._gid_wiring(spark, sf)[0].filter("gid < 60")), T.genome(spark, sf)
+    tiles = PL.tiling(genome, 30_000)
+    clipped = PL.tiling(genome, 30_000, genome.filter("seqnames IN ('chr1', 'chr4')").select("seqnames", "start", "end"))
+    assays = [(genome.select("node_id", F.col("width").alias("nw")), PL._read_rates(genome, 60_000, 60, 20, 9), 45, 0.02)]
+    assays += [(K.node_tiles(genome, t, ("cn",))[0], PL._map_rates(genome, t, 2, 20, 9), k, 0) for t, k in ((tiles, 45), (clipped, 0))]
+    asked = []
+    for table, (each, rows), items, ties in assays:
+        def keyed(w, rows=rows):
+            steps, pairs = PL.neighbor_pairs(w, 2, 2, 9)
+            asked.append(w.select("gid").distinct().count())
+            return rows(steps, pairs)
+
+        few, other = ({r.pair_id: r.error_rate for r in N.by_graph(wiring, table, 2, 2, 9, each, keyed, k).collect()} for k in (512, items))
+        assert set(few) == set(other) and len(few) > 50 and len(set(few.values())) > 3
+        # a ratio of 0 up to rounding may fall to either side
+        assert sum(abs(few[k] - other[k]) > 1e-9 for k in few) <= ties * len(few)
+    graphs = wiring.select("gid").distinct().count()
+    assert len(asked) == 3 and asked[2] == graphs and 0 < asked[0] < graphs
